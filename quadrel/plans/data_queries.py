@@ -27,7 +27,7 @@ def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicates and graphs that hold at least 5 percent of all rows."""
-    return heavy_keys(_statistics(spark, sf_dir), 0.05).select("field_name", "key_value")
+    return heavy_keys(_statistics(spark, sf_dir), 0.05, table(spark, sf_dir, "rdf").count()).select("field_name", "key_value")
 
 
 def p2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
