@@ -17,14 +17,15 @@ def hot_keys(df: DataFrame, key: str, min_rows: int = MIN_HOT) -> list:
     return [r["k"] for r in counts.orderBy(F.desc("count"), "k").limit(MAX_HOT).collect()]
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", min_rows: int = MIN_HOT) -> DataFrame:
-    """``left`` joined with ``right``, which has one row a key. Rows of hot keys meet a broadcast of at most
+def lookup_join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "left", min_rows: int = MIN_HOT) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key (of several columns the first tells hot keys). Rows of hot keys meet a broadcast of at most
     ``MAX_HOT`` right rows and stay where they are; all others are shuffled by the key. Null keys match nothing
     and are kept by a left join. ``how`` is ``left`` or ``inner``; column names other than the key must differ."""
-    hot = hot_keys(left, key, min_rows)
+    first = key if isinstance(key, str) else key[0]
+    hot = hot_keys(left, first, min_rows)
     if not hot:
         return left.join(right, key, how)
-    is_hot = F.col(key).isin(hot)
+    is_hot = F.col(first).isin(hot)
     some = left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how)
     rest = left.where(~F.coalesce(is_hot, F.lit(False))).join(right.where(~is_hot), key, how)
     return some.unionByName(rest)
