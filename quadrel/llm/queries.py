@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quadrel.llm.copies import canonical_lang, canonical_text, copies, copy_counts
 from quadrel.llm.mixing import mix, shares
+from quadrel.llm.spans import shared_share, shared_spans
 from quadrel.llm.terms import gram_counts, marked
 from quadrel.llm.tokens import decode, encode
 from quadrel.storage import materialize
@@ -93,7 +94,18 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(materialize(mix(_sized(spark, sf_dir), targets)), targets)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_pairs, p1_literals, p5_found, p5_kept, p8_ids, p8_decoded, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal runs of characters that stand in another document too, in passages of 150 characters or more."""
+    return shared_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document how many of its characters are shared."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shared_share(docs, shared_spans(docs))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_pairs, p1_literals, p5_found, p5_kept, p8_ids, p8_decoded, p9_mix, p9_shares, p10_found, p10_shared)}
 
 _TERM = "lower(trim(token, ' ' || chr(9) || chr(10) || chr(13) || chr(160)))"
 _SLOT = f"t AS (SELECT DISTINCT lit_id, pos, {_TERM} AS token FROM rdf_litindex WHERE token IS NOT NULL AND lit_id IS NOT NULL AND {_TERM} <> '')"
