@@ -17,12 +17,18 @@ def hot_keys(df: DataFrame, key: str, min_rows: int = MIN_HOT) -> list:
     return [r["k"] for r in counts.orderBy(F.desc("count"), "k").limit(MAX_HOT).collect()]
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "left", min_rows: int = MIN_HOT) -> DataFrame:
+def counted_hot(counts: DataFrame, key: str, n: str) -> list:
+    """The hot keys of a frame that has the counts already."""
+    return [r[0] for r in counts.where(F.col(n) >= MIN_HOT).orderBy(F.desc(n), key).select(key).limit(MAX_HOT).collect()]
+
+
+def lookup_join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "left", min_rows: int = MIN_HOT, hot: list | None = None) -> DataFrame:
     """``left`` joined with ``right``, which has one row a key (of several columns the first tells hot keys). Rows of hot keys meet a broadcast of at most
     ``MAX_HOT`` right rows and stay where they are; all others are shuffled by the key. Null keys match nothing
-    and are kept by a left join. ``how`` is ``left`` or ``inner``; column names other than the key must differ."""
+    and are kept by a left join. ``how`` is ``left`` or ``inner``; column names other than the key must differ. Hot keys that are known
+    already may be given, else they are counted."""
     first = key if isinstance(key, str) else key[0]
-    hot = hot_keys(left, first, min_rows)
+    hot = hot_keys(left, first, min_rows) if hot is None else hot[:MAX_HOT]
     if not hot:
         return left.join(right, key, how)
     is_hot = F.col(first).isin(hot)
