@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrel.skew import lookup_join
-from quadrel.storage import materialize, release
+from quadrel.skew import counted_hot, lookup_join
+from quadrel.storage import materialize
 
 #: Characters of a block that is hashed at once; bounds the memory of a task whatever the length of a text.
 BLOCK = 1 << 20
@@ -63,16 +63,16 @@ def _points(pieces: list[str]) -> np.ndarray:
     return np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _blocks(ids: list, texts: list, length: int) -> Iterator[tuple[list, np.ndarray, list[str]]]:
-    """Texts in blocks of about ``BLOCK`` characters: ids, the place of each piece in its text, pieces. A longer text is cut into
+def _blocks(ids: list, texts: list, length: int, block: int) -> Iterator[tuple[list, np.ndarray, list[str]]]:
+    """Texts in blocks of about ``block`` characters: ids, the place of each piece in its text, pieces. A longer text is cut into
     pieces that overlap by a window less one, so every window lies whole in exactly one piece."""
     who, at, pieces, size = [], [], [], 0
     for i, text in zip(ids, texts):
         if text is None or len(text) < length or i is None:
             continue
-        for a in range(0, len(text) - length + 1, BLOCK):
-            piece = text[a : a + BLOCK + length - 1]
-            if size and size + len(piece) > BLOCK + length:
+        for a in range(0, len(text) - length + 1, block):
+            piece = text[a : a + block + length - 1]
+            if size and size + len(piece) > block + length:
                 yield who, np.array(at), pieces
                 who, at, pieces, size = [], [], [], 0
             who.append(i)
@@ -117,8 +117,8 @@ def _regions(pieces: list[str], length: int, gram: int) -> dict[str, np.ndarray]
     }
 
 
-def _cells(keys: np.ndarray, cells: int) -> list[np.ndarray]:
-    return [(_mixed(keys, 0xA5A5 + 7919 * r) & np.uint64(cells - 1)).astype(np.int64) for r in range(ROWS)]
+def _cells(keys: np.ndarray, cells: int, rows: int = ROWS) -> list[np.ndarray]:
+    return [(_mixed(keys, 0xA5A5 + 7919 * r) & np.uint64(cells - 1)).astype(np.int64) for r in range(rows)]
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -140,23 +140,19 @@ def _unpacked(data: bytes) -> np.ndarray:
     return counts
 
 
-def _sketch(length: int, gram: int, cells: int):
+def _sketch(keys_of, cells: int, rows: int):
+    """The sketch of a partition; ``keys_of`` gives of a batch arrays of keys and how often each counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((ROWS, cells), np.uint8)
+        counts = np.zeros((rows, cells), np.uint8)
         for batch in batches:
-            for who, _, pieces in _blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length):
-                r = _regions(pieces, length, gram)
-                number = {}
-                doc = np.array([number.setdefault(w, len(number)) for w in who])[r["piece"]]
-                order = np.lexsort((r["key"], doc))
-                key, doc = r["key"][order], doc[order]
-                new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-                for row, at in zip(counts, _cells(key[new], cells)):
-                    cell, n = np.unique(at, return_counts=True)
+            for keys, times in keys_of(batch):
+                for row, at in zip(counts, _cells(keys, cells, rows)):
+                    cell, place = np.unique(at, return_inverse=True)
+                    n = np.bincount(place, times, len(cell))
                     row[cell] = np.minimum(row[cell] + np.minimum(n, 2), 2)
         chunks, data = [], []
-        for r in range(ROWS):
+        for r in range(rows):
             for k in range(cells // CHUNK):
                 part = counts[r, k * CHUNK : (k + 1) * CHUNK]
                 if part.any():
@@ -167,6 +163,23 @@ def _sketch(length: int, gram: int, cells: int):
     return run
 
 
+def _anchors(length: int, gram: int, block: int):
+    """The anchors' grams of a batch of texts, each once a record."""
+
+    def keys_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for who, _, pieces in _blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length, block):
+            r = _regions(pieces, length, gram)
+            number: dict = {}
+            doc = np.array([number.setdefault(w, len(number)) for w in who])[r["piece"]]
+            order = np.lexsort((r["key"], doc))
+            key, doc = r["key"][order], doc[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+            yield key[new], np.ones(new.sum())
+
+    return keys_of
+
+
 def _merge(table: pa.Table) -> pa.Table:
     total = np.zeros(CHUNK, np.uint8)
     for x in table.column("data"):
@@ -174,30 +187,42 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "data": pa.array([_packed(total)], pa.binary())})
 
 
-def repeated_cells(texts: DataFrame, length: int, gram: int, cells: int, fan_in: int = 32):
-    """Per row of the sketch a bit map of the cells counted twice or more, merged from the sketches of all partitions in two
-    rounds. Its size is fixed by ``cells``."""
-    parts = texts.mapInArrow(_sketch(length, gram, cells), "chunk int, data binary")
-    some = parts.withColumn("lot", F.pmod(F.spark_partition_id(), F.lit(fan_in))).groupBy("chunk", "lot").applyInArrow(_merge, "chunk int, data binary")
-    maps = np.zeros((ROWS, cells // 8), np.uint8)
+def repeated_cells(rows: DataFrame, keys_of, cells: int, depth: int = ROWS) -> np.ndarray:
+    """Per row of the sketch a bit map of the cells counted twice or more, merged from the sketches of all partitions - of many
+    partitions in two rounds. Its size is fixed by ``cells``."""
+    parts = rows.mapInArrow(_sketch(keys_of, cells, depth), "chunk int, data binary")
+    tasks = rows.rdd.getNumPartitions()
+    if tasks > 64:
+        lots = int(tasks**0.5)
+        parts = parts.withColumn("lot", F.pmod(F.spark_partition_id(), F.lit(lots))).groupBy("chunk", "lot").applyInArrow(_merge, "chunk int, data binary")
+    maps = np.zeros((depth, cells // 8), np.uint8)
     per = cells // CHUNK
-    for r in some.groupBy("chunk").applyInArrow(_merge, "chunk int, data binary").toLocalIterator():
+    for r in parts.groupBy("chunk").applyInArrow(_merge, "chunk int, data binary").toLocalIterator():
         row, k = divmod(r["chunk"], per)
         maps[row, k * CHUNK // 8 : (k + 1) * CHUNK // 8] = np.packbits(_unpacked(bytes(r["data"])) > 1)
     return maps
 
 
+def _repeated(keys: np.ndarray, maps: np.ndarray) -> np.ndarray:
+    hot = np.ones(len(keys), bool)
+    for bits, cell in zip(maps, _cells(keys, maps.shape[1] * 8, len(maps))):
+        hot &= (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+    return hot
+
+
+def _cells_for(keys: int) -> int:
+    return min(MOST_CELLS, max(LEAST_CELLS, 1 << max(0, 4 * keys - 1).bit_length()))
+
+
 _REGION = "doc {}, start bigint, n int, key bigint, c1 bigint, c2 bigint"
 
 
-def _repeated_regions(length: int, gram: int, cells: int, maps, kind: pa.DataType):
+def _repeated_regions(length: int, gram: int, block: int, maps, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for who, at, pieces in _blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length):
+            for who, at, pieces in _blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length, block):
                 r = _regions(pieces, length, gram)
-                hot = np.ones(len(r["key"]), bool)
-                for bits, cell in zip(maps.value, _cells(r["key"], cells)):
-                    hot &= (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+                hot = _repeated(r["key"], maps.value)
                 piece = r["piece"][hot]
                 cols = [pa.array(who, kind).take(pa.array(piece)), pa.array(r["start"][hot] + at[piece]), pa.array(r["n"][hot].astype(np.int32))]
                 cols += [pa.array(r[c][hot].view(np.int64)) for c in ("key", "c1", "c2")]
@@ -206,41 +231,62 @@ def _repeated_regions(length: int, gram: int, cells: int, maps, kind: pa.DataTyp
     return run
 
 
-def _windows(length: int, kind: pa.DataType):
-    """All windows of the regions asked for in each text: w1, w2, doc, start, off, many."""
+def _cut(length: int, kind: pa.DataType):
+    """The texts of the regions asked for: doc, start, many, piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            todo, size = [], 0
+            out: list[tuple] = []
             for doc, text, asked in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "asked"))):
-                for a in asked:
-                    piece = text[a["start"] : a["start"] + a["n"] + length - 1]
-                    todo.append((doc, a["start"], a["many"], piece))
-                    size += len(piece)
-                    if size > BLOCK:
-                        yield given(todo)
-                        todo, size = [], 0
-            if todo:
-                yield given(todo)
-
-    def given(todo: list) -> pa.RecordBatch:
-        points = _points([x[3] for x in todo])
-        sizes = np.array([len(x[3]) for x in todo])
+                out += [(doc, a["start"], a["many"], text[a["start"] : a["start"] + a["n"] + length - 1]) for a in asked]
+                if len(out) > 20_000:
+                    yield given(out)
+                    out = []
+            yield given(out)
+
+    def given(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out)) or [[], [], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, pa.int64(), pa.bool_(), pa.string()))], ["doc", "start", "many", "piece"])
+
+    return run
+
+
+def _windows_of(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """All windows of the pieces of a batch, some pieces at a time: place of the piece in the batch, offset, two hashes."""
+    texts = batch.column("piece").to_pylist()
+    some = max(1, BLOCK // (4 * length))
+    for a in range(0, len(texts), some):
+        part = texts[a : a + some]
+        points, sizes = _points(part), np.array([len(x) for x in part])
         n = np.maximum(sizes - length + 1, 0)
-        which = np.repeat(np.arange(len(todo)), n)
+        which = np.repeat(np.arange(len(part)), n)
         off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         start = (np.cumsum(sizes) - sizes)[which] + off
-        hashes = [_Hashes(points, k).of(start, start + length).view(np.int64) for k in (0, 1)]
-        pick = pa.array(which)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(hashes[0]), pa.array(hashes[1]), pa.array([x[0] for x in todo], kind).take(pick), pa.array([x[1] for x in todo], pa.int64()).take(pick), pa.array(off.astype(np.int32)), pa.array([x[2] for x in todo], pa.bool_()).take(pick)],
-            ["w1", "w2", "doc", "start", "off", "many"],
-        )
+        yield which + a, off, *(_Hashes(points, k).of(start, start + length) for k in (0, 1))
+
+
+def _window_keys(length: int):
+    def keys_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        times = 1 + batch.column("many").to_numpy(zero_copy_only=False).astype(np.int64)
+        for which, _, w1, _ in _windows_of(batch, length):
+            yield w1, times[which]
+
+    return keys_of
+
+
+def _repeated_windows(length: int, maps):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for which, off, w1, w2 in _windows_of(batch, length):
+                hot = _repeated(w1, maps.value)
+                pick = pa.array(which[hot])
+                cols = [pa.array(w1[hot].view(np.int64)), pa.array(w2[hot].view(np.int64)), *(batch.column(c).take(pick) for c in ("doc", "start")), pa.array(off[hot].astype(np.int32)), batch.column("many").take(pick)]
+                yield pa.RecordBatch.from_arrays(cols, ["w1", "w2", "doc", "start", "off", "many"])
 
     return run
 
 
-def shared_spans(docs: DataFrame, length: int = 150, doc_id: str = "doc_id", text: str = "text", gram: int = 50, cells: int | None = None) -> DataFrame:
+def shared_spans(docs: DataFrame, length: int = 150, doc_id: str = "doc_id", text: str = "text", gram: int = 50, cells: int | None = None, block: int = BLOCK) -> DataFrame:
     """The maximal runs of characters that lie in a passage of ``length`` characters standing verbatim in another record:
     doc_id, span_start, span_end (exclusive).
 
@@ -251,12 +297,13 @@ def shared_spans(docs: DataFrame, length: int = 150, doc_id: str = "doc_id", tex
        records or more and loses none.
     3. Regions kept are grouped exactly by anchor and by 128 bits of their whole text. A text found in two records is shared
        as a whole. Only where regions of one anchor differ and some stand in one record alone are single windows compared,
-       one region for each distinct text, again by 128 bits.
+       one region for each distinct text: their windows pass a sketch of their own, and those estimated to be repeated are
+       grouped exactly, again by 128 bits.
     4. Shared windows are merged into runs per record.
 
     No pair of records is ever formed, and a passage in a third of all records is one group that is combined before the shuffle
     by counts and extremes. The sketch has about four cells an anchor within ``LEAST_CELLS`` and ``MOST_CELLS``; beyond that it
-    keeps more than it should, and results stay whole. Long texts are hashed in overlapping pieces.
+    keeps more than it should, and results stay whole. Long texts are hashed in overlapping pieces of ``block`` characters, at most 2**21.
 
     Null, empty and shorter texts and null ids give nothing. A record is an id: rows repeated under one id don't share with
     each other, but an id must not have two different texts. Empty in, empty out; other columns are ignored.
@@ -264,21 +311,26 @@ def shared_spans(docs: DataFrame, length: int = 150, doc_id: str = "doc_id", tex
     texts = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= length))
     if cells is None:
         chars = texts.agg(F.sum(F.length("text"))).collect()[0][0] or 0
-        cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << max(0, (8 * chars // (length - gram + 2)) - 1).bit_length()))
+        cells = _cells_for(2 * chars // (length - gram + 2))
     kind, arrow = docs.schema[doc_id].dataType.simpleString(), _arrow_type(docs, doc_id)
-    maps = docs.sparkSession.sparkContext.broadcast(repeated_cells(texts, length, gram, cells))
-    regions = materialize(texts.mapInArrow(_repeated_regions(length, gram, cells, maps, arrow), _REGION.format(kind)))
-    forms = regions.groupBy("key", "c1", "c2").agg((F.min("doc") != F.max("doc")).alias("many"), F.min(F.struct("doc", "start", "n")).alias("one"))
+    share = docs.sparkSession.sparkContext.broadcast
+    maps = share(repeated_cells(texts, _anchors(length, gram, block), cells))
+    regions = materialize(texts.mapInArrow(_repeated_regions(length, gram, block, maps, arrow), _REGION.format(kind)))
+    forms = regions.groupBy("key", "c1", "c2").agg((F.min("doc") != F.max("doc")).alias("many"), F.min(F.struct("doc", "start", "n")).alias("one"), F.count(F.lit(1)).alias("regions"))
     forms = materialize(forms)
     mixed = forms.groupBy("key").agg(F.count(F.lit(1)).alias("forms"), F.bool_and("many").alias("all_many")).where("forms > 1 and not all_many").select("key")
     differing = lookup_join(forms, mixed, "key", "inner").select("key", "c1", "c2", "many", "one.*")
     asked = differing.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "many")).alias("asked"))
-    windows = materialize(texts.join(asked, "doc").mapInArrow(_windows(length, arrow), f"w1 bigint, w2 bigint, doc {kind}, start bigint, off int, many boolean"))
-    common = windows.groupBy("w1", "w2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.bool_or("many").alias("m")).where("m or lo <> hi").select("w1", "w2")
-    single = lookup_join(windows.where(~F.col("many")), common, ["w1", "w2"], "inner").groupBy("doc", "start").agg(F.collect_set("off").alias("offs"))
+    pieces = materialize(texts.join(asked, "doc").mapInArrow(_cut(length, arrow), f"doc {kind}, start bigint, many boolean, piece string"))
+    n_windows = pieces.agg(F.sum(F.length("piece") - (length - 1))).collect()[0][0] or 0
+    window_maps = share(repeated_cells(pieces, _window_keys(length), _cells_for(n_windows), 1))
+    windows = pieces.mapInArrow(_repeated_windows(length, window_maps), f"w1 bigint, w2 bigint, doc {kind}, start bigint, off int, many boolean")
+    common = windows.groupBy("w1", "w2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.bool_or("many").alias("m"), F.count(F.lit(1)).alias("rows")).where("m or lo <> hi")
+    common = materialize(common.select("w1", "w2", "rows"))
+    single = lookup_join(windows.where(~F.col("many")), common.drop("rows"), ["w1", "w2"], "inner", hot=counted_hot(common, "w1", "rows")).groupBy("doc", "start").agg(F.collect_set("off").alias("offs"))
     partly = differing.where(~F.col("many")).join(single, ["doc", "start"]).select("c1", "c2", "key", "offs")
     wholly = forms.where("many").select("c1", "c2", "key", F.lit(None).cast("array<int>").alias("offs"))
-    hits = lookup_join(regions, wholly.unionByName(partly), ["c1", "c2", "key"], "inner")
+    hits = lookup_join(regions, wholly.unionByName(partly), ["c1", "c2", "key"], "inner", hot=counted_hot(forms, "c1", "regions"))
     begin = F.explode(F.coalesce(F.transform("offs", lambda o: F.struct((F.col("start") + o).alias("a"), (F.col("start") + o + length).alias("b"))), F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n") + length - 1).alias("b")))))
     runs = hits.select("doc", begin.alias("r")).select("doc", "r.a", "r.b").distinct()
     order = Window.partitionBy("doc").orderBy("a", "b")
