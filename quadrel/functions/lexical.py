@@ -6,14 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The lexical forms.
-INTEGER = r"^[+-]?[0-9]+$"
-DOUBLE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+INTEGER = r"^[+-]?[0-9]+\z"
+DOUBLE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 
 
 def cut(text: Column) -> Column:
     """Without outer spaces, tabs and line ends."""
-    return F.regexp_replace(text, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    return F.regexp_replace(text, r"^[ \t\r\n]+|[ \t\r\n]+\z", "")
 
 
 def as_integer(text: Column) -> Column:
@@ -41,7 +41,7 @@ def typed(text: Column, kind: str) -> Column:
     if kind == "double":
         return as_double(text)
     if kind == "date":
-        return as_date(F.regexp_replace(text, "Z$", ""))
+        return as_date(F.regexp_replace(text, r"Z\z", ""))
     if kind == "boolean":
         return as_boolean(text)
     if kind == "string":

@@ -10,6 +10,7 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quadrel.functions.lexical import as_date
 from quadrel.functions.text import fold
 from quadrel.schema import BNODE, LITERAL, RDF, XSD
 
@@ -21,7 +22,9 @@ INTEGER_LIMITS: dict[str, tuple[int | None, int | None]] = {
 }
 FLOATS = ("double", "float")
 _INT = [XSD + n for n in INTEGER_LIMITS]
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# In Java "$" also stands before a last line end, so column patterns end in \z.
+_NUMBER_FORM = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+_NUMBER = rf"^{_NUMBER_FORM}\z"
 
 
 class LiteralError(ValueError):
@@ -71,7 +74,7 @@ def canonical(value, type_: str | None = None, lang: str | None = None) -> tuple
         text = str(value)
         if text in ("INF", "-INF", "NaN"):
             return text, type_, None
-        if not re.fullmatch(_NUMBER, text):
+        if not re.fullmatch(_NUMBER_FORM, text):
             raise LiteralError(f"not a number: {value!r}")
         if name == "decimal":
             d = format(Decimal(text).normalize(), "f")
@@ -101,7 +104,7 @@ def numeric_value(o: Column, o_dt: Column) -> Column:
 
 def integer_value(o: Column, o_dt: Column) -> Column:
     """The value of an integer literal, exact up to 38 digits."""
-    return F.when(o_dt.isin(_INT) & o.rlike(r"^[+-]?[0-9]+$"), o.try_cast("decimal(38,0)"))
+    return F.when(o_dt.isin(_INT) & o.rlike(r"^[+-]?[0-9]+\z"), o.try_cast("decimal(38,0)"))
 
 
 def primitive(o_dt: Column) -> Column:
@@ -114,7 +117,7 @@ def canonical_text(o: Column, o_dt: Column) -> Column:
     number = F.regexp_replace(F.regexp_replace(o, r"^\+", ""), r"^(-?)0+(?=[0-9])", "$1")
     low = F.lower(o)
     return (
-        F.when(o_dt.isin(_INT) & o.rlike(r"^[+-]?[0-9]+$"), F.when(number == "-0", "0").otherwise(number))
+        F.when(o_dt.isin(_INT) & o.rlike(r"^[+-]?[0-9]+\z"), F.when(number == "-0", "0").otherwise(number))
         .when((o_dt == XSD + "boolean") & low.isin("true", "1"), "true").when((o_dt == XSD + "boolean") & low.isin("false", "0"), "false").otherwise(o)
     )
 
@@ -136,14 +139,14 @@ def in_limits(o: Column, o_dt: Column) -> Column:
 def typed_values(o: Column, o_dt: Column) -> dict[str, Column]:
     """Values of the literal types that have one, each null for literals of other types or faulty form."""
     x = lambda n: o_dt == XSD + n
-    stamp = F.regexp_extract(o, r"^(-?[0-9]{4,}-[0-9]{2}-[0-9]{2}T[0-9:.]+?)(Z|[+-][0-9]{2}:[0-9]{2})?$", 1)
-    zone = F.regexp_extract(o, r"T[0-9:.]+?(Z|[+-][0-9]{2}:[0-9]{2})$", 1)
+    stamp = F.regexp_extract(o, r"^(-?[0-9]{4,}-[0-9]{2}-[0-9]{2}T[0-9:.]+?)(Z|[+-][0-9]{2}:[0-9]{2})?\z", 1)
+    zone = F.regexp_extract(o, r"T[0-9:.]+?(Z|[+-][0-9]{2}:[0-9]{2})\z", 1)
     sign = F.when(zone.startswith("-"), -1).otherwise(1)
     offset = F.when(zone == "Z", 0).when(zone != "", sign * (F.substring(zone, 2, 2).try_cast("int") * 3600 + F.substring(zone, 5, 2).try_cast("int") * 60))
     clock = F.regexp_extract(o, r"^([0-9]{2}):([0-9]{2}):([0-9.]+)", 1)
     return {
         "v_int": integer_value(o, o_dt), "v_double": numeric_value(o, o_dt), "v_boolean": F.when(x("boolean"), o.isin("true", "1")),
-        "v_date": F.when(x("date"), F.regexp_replace(o, r"(Z|[+-][0-9]{2}:[0-9]{2})$", "").try_cast("date")),
+        "v_date": F.when(x("date"), as_date(F.regexp_replace(o, r"(Z|[+-][0-9]{2}:[0-9]{2})\z", ""))),
         "v_timestamp": F.when(x("dateTime") & (stamp != ""), stamp.try_cast("timestamp_ntz")), "v_tz_sec": F.when(x("dateTime"), offset),
         "v_seconds": F.when(x("time") & (clock != ""), clock.cast("int") * 3600 + F.substring(o, 4, 2).cast("int") * 60 + F.regexp_extract(o, r"^[0-9:]{6}([0-9.]+)", 1).try_cast("double")),
         "v_year": F.when(x("gYear") | x("gYearMonth"), F.regexp_extract(o, r"^(-?[0-9]{4,})", 1).try_cast("int")),

@@ -55,7 +55,7 @@ def member_property(n: Column) -> Column:
 
 def member_number(p: Column) -> Column:
     """N of rdf:_N (1 or more, no leading zeros), else null."""
-    return F.regexp_extract(p, "^" + RDF.replace(".", r"\.") + r"_([1-9][0-9]*)$", 1).try_cast("int")
+    return F.regexp_extract(p, "^" + RDF.replace(".", r"\.") + r"_([1-9][0-9]*)\z", 1).try_cast("int")
 
 
 def atom_md5(text: Column, times: int = 1) -> Column:

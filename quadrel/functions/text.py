@@ -78,9 +78,9 @@ def lang_matches(lang: Column, range_: str) -> Column:
     for i, part in enumerate(parts):
         rx += (r"(?:[^-]+-)*" if i < len(parts) - 1 else r"(?:[^-]+-?)*") if part == "*" else re.escape(part) + ("-" if i < len(parts) - 1 else "")
     if parts[-1] == "*":
-        rx = "^" + rx.removesuffix(r"(?:[^-]+-?)*").removesuffix("-") + r"(?:-.*)?$"
+        rx = "^" + rx.removesuffix(r"(?:[^-]+-?)*").removesuffix("-") + r"(?:-.*)?\z"
     else:
-        rx = "^" + rx + r"(?:-.*)?$"
+        rx = "^" + rx + r"(?:-.*)?\z"
     return F.coalesce(F.lower(lang).rlike(rx) & (lang != ""), F.lit(False))
 
 

@@ -11,22 +11,22 @@ from quadrel.storage import materialize
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
 # The grammar of a line.
-END = r"(?=[ \t]|\.?[ \t]*(?:#.*)?$)"
+END = r"(?=[ \t]|\.?[ \t]*(?:#.*)?\z)"
 ESCAPE = r"""\\(?:[tbnrf"'\\]|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})"""
 BODY = rf"""(?:[^"\\]|{ESCAPE})*+"""
 LITERAL = rf"""\"{BODY}\"(?:@[^ \t"<>]*?|\^\^<[^"]*?>)?{END}"""
 IRI = rf"<.*?>{END}"
 BNODE = rf"_:[^ \t<>\"]+?{END}"
-STOP = r"\.[ \t\r]*(?:#.*)?$"
-TOKEN = rf"(?s){LITERAL}|{IRI}|{BNODE}|{STOP}|#.*$|[^ \t]+"
+STOP = r"\.[ \t\r]*(?:#.*)?\z"
+TOKEN = rf"(?s){LITERAL}|{IRI}|{BNODE}|{STOP}|#.*\z|[^ \t]+"
 BAD_IRI = r"[\x00-\x20\x7f-\x9f<>\"{}|^`\\]"
-LANG = r"^[A-Za-z]{1,8}(-[A-Za-z0-9]{1,8})*$"
+LANG = r"^[A-Za-z]{1,8}(-[A-Za-z0-9]{1,8})*\z"
 
 
-def _literal_fault(term: Column) -> Column:
+def _literal_fault(term: Column, values: bool) -> Column:
     """Whether a well-quoted literal has a faulty tag, datatype IRI or value."""
-    lang = F.regexp_extract(term, rf"(?s)^\"{BODY}\"@(.*)$", 1)
-    dt = F.regexp_extract(term, rf"(?s)^\"{BODY}\"\^\^<(.*)>$", 1)
+    lang = F.regexp_extract(term, rf"(?s)^\"{BODY}\"@(.*)\z", 1)
+    dt = F.regexp_extract(term, rf"(?s)^\"{BODY}\"\^\^<(.*)>\z", 1)
     text = F.regexp_extract(term, rf"(?s)^\"({BODY})\"", 1)
     tagged, typed = term.rlike(rf"(?s)^\"{BODY}\"@"), term.rlike(rf"(?s)^\"{BODY}\"\^\^")
     wrong = (
@@ -36,32 +36,32 @@ def _literal_fault(term: Column) -> Column:
         .when(dt == XSD + "boolean", ~text.isin("true", "false", "1", "0"))
         .otherwise(F.lit(False))
     )
-    return F.when(tagged, ~lang.rlike(LANG)).when(typed, dt.rlike(BAD_IRI) | wrong).otherwise(F.lit(False))
+    return F.when(tagged, ~lang.rlike(LANG)).when(typed, dt.rlike(BAD_IRI) | wrong if values else dt.rlike(BAD_IRI)).otherwise(F.lit(False))
 
 
-def check_lines(lines: DataFrame, raw: str = "raw_line", quads: Column | None = None) -> DataFrame:
+def check_lines(lines: DataFrame, raw: str = "raw_line", quads: Column | None = None, values: bool = True) -> DataFrame:
     """``lines`` with nullable text columns s, p, o, g, the array ``errors`` and ``is_statement``.
 
     Each line is cut into terms as text; rules evaluated as columns give an array of reasons, empty for a good line, in
     the order quoting, columns, value. Null, blank and comment lines are no statements and have no errors. ``quads``
-    tells where a fourth term is allowed (default nowhere).
+    tells where a fourth term is allowed (default nowhere). Without ``values`` the text of a literal isn't held against its datatype.
     """
     quads = F.coalesce(quads if quads is not None else F.lit(False), F.lit(False))
-    line = F.regexp_replace(F.col(raw), r"[\r\n]+$", "")
-    blank = F.col(raw).isNull() | F.col(raw).rlike(r"^[ \t\r\n]*(#|$)")
+    line = F.regexp_replace(F.col(raw), r"[\r\n]+\z", "")
+    blank = F.col(raw).isNull() | F.col(raw).rlike(r"^[ \t\r\n]*(#|\z)")
     out = lines.withColumn("_t", F.when(~blank, F.regexp_extract_all(line, F.lit(TOKEN), 0)))
-    is_literal = lambda t: t.rlike(rf"(?s)^{LITERAL}$")
-    is_iri = lambda t: t.rlike(r"(?s)^<.*>$")
-    is_node = lambda t: t.rlike(r"^_:[^ \t<>\"]+$")
-    ended = F.element_at("_t", -1).rlike(r"(?s)^\.[ \t\r]*(#.*)?$") | (F.element_at("_t", -1).startswith("#") & F.get("_t", F.size("_t") - 2).rlike(r"^\.$"))
-    out = out.withColumn("_ended", F.coalesce(ended, F.lit(False))).withColumn("_terms", F.filter("_t", lambda t: ~(t.rlike(r"(?s)^\.[ \t\r]*(#.*)?$") | t.startswith("#"))))
+    is_literal = lambda t: t.rlike(rf"(?s)^{LITERAL}\z")
+    is_iri = lambda t: t.rlike(r"(?s)^<.*>\z")
+    is_node = lambda t: t.rlike(r"^_:[^ \t<>\"]+\z")
+    ended = F.element_at("_t", -1).rlike(r"(?s)^\.[ \t\r]*(#.*)?\z") | (F.element_at("_t", -1).startswith("#") & F.get("_t", F.size("_t") - 2).rlike(r"^\.\z"))
+    out = out.withColumn("_ended", F.coalesce(ended, F.lit(False))).withColumn("_terms", F.filter("_t", lambda t: ~(t.rlike(r"(?s)^\.[ \t\r]*(#.*)?\z") | t.startswith("#"))))
     s, p, o, g = (F.get("_terms", F.lit(i)) for i in range(4))
     count = F.size("_terms")
     quoting = F.exists("_terms", lambda t: t.contains('"') & ~is_iri(t) & ~is_literal(t))
     columns = ~F.col("_ended") | ~((count == 3) | (quads & (count == 4))) | F.exists("_terms", lambda t: ~t.contains('"') & ~is_iri(t) & ~is_node(t))
     value = (
         F.exists("_terms", lambda t: is_iri(t) & F.substring(t, 2, 1 << 30).substr(F.lit(1), F.length(t) - 2).rlike(BAD_IRI))
-        | F.exists("_terms", lambda t: is_literal(t) & _literal_fault(t))
+        | F.exists("_terms", lambda t: is_literal(t) & _literal_fault(t, values))
         | s.startswith('"') | ~is_iri(p) | F.coalesce(g.startswith('"'), F.lit(False))
     )
     rules = [("quoting", quoting), ("columns", columns), ("value", value)]

@@ -149,27 +149,34 @@ def resources(bound: DataFrame, *names: str) -> DataFrame:
     return bound
 
 
+def _natural(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """A join on all shared variables; a type or language that isn't there equals one that isn't there."""
+    shared = [c for c in left.columns if c in right.columns]
+    if not shared:
+        raise ValueError("patterns without a shared variable")
+    other = right.select(*[F.col(c).alias(f"_r_{c}") if c in shared else F.col(c) for c in right.columns])
+    on = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) if c.endswith(("_dt", "_lang")) else F.col(c) == F.col(f"_r_{c}") for c in shared]
+    return left.join(other, on, how).drop(*[f"_r_{c}" for c in shared])
+
+
 def conjunction(*parts: DataFrame) -> DataFrame:
     """All patterns at once: natural inner joins on the variables shared; parts without a shared variable are refused."""
     out = parts[0]
     for p in parts[1:]:
-        shared = [c for c in out.columns if c in p.columns]
-        if not shared:
-            raise ValueError("patterns without a shared variable")
-        out = out.join(p, shared)
+        out = _natural(out, p, "inner")
     return out
 
 
 def optional(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.join(right, [c for c in left.columns if c in right.columns], "left")
+    return _natural(left, right, "left")
 
 
 def exists(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.join(right, [c for c in left.columns if c in right.columns], "left_semi")
+    return _natural(left, right, "left_semi")
 
 
 def absent(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.join(right, [c for c in left.columns if c in right.columns], "left_anti")
+    return _natural(left, right, "left_anti")
 
 
 def either(*parts: DataFrame) -> DataFrame:

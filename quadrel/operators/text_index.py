@@ -20,7 +20,7 @@ def tokens(text: Column) -> Column:
     """The distinct tokens of a text: runs of letters or of digits (a number may have a sign), without one-character tokens that are no
     numbers, stop words and numbers out of range."""
     parts = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}])-?\p{Nd}+(?![\p{L}\p{N}])|[\p{L}\p{N}]+"), 0)
-    number = lambda t: t.rlike(r"^-?[0-9]+$")
+    number = lambda t: t.rlike(r"^-?[0-9]+\z")
     keep = lambda t: F.when(number(t), t.try_cast("bigint").between(SMALLEST, LARGEST)).otherwise((F.length(t) > 1) & ~F.lower(t).isin(STOP_WORDS))
     return F.array_distinct(F.filter(parts, lambda t: F.coalesce(keep(t), F.lit(False))))
 
@@ -65,7 +65,7 @@ def normal_form(q: Q, negated: bool = False) -> list[list[tuple[Q, bool]]]:
 
 
 def _key_test(q: Q, token: Column) -> Column:
-    number = F.when(token.rlike(r"^-?[0-9]+$"), token.try_cast("bigint"))
+    number = F.when(token.rlike(r"^-?[0-9]+\z"), token.try_cast("bigint"))
     if q.op == "token":
         return fold(token) == fold_text(str(q.args[0]))
     if q.op == "case":

@@ -35,10 +35,10 @@ def parse(lines: DataFrame, raw: str = "value", quads: bool = False, graph: str
     ``anon_prefix``; quads without a fourth term go to ``graph``. Other columns of ``lines`` stay unless they have these names."""
     taken = {"s", "p", "o", "g", "o_kind", "o_dt", "o_lang", "errors", "is_statement"}
     rows = lines.drop(*(taken - {raw})).withColumnRenamed(raw, "_raw")
-    c, anon = check_lines(rows, "_raw", F.lit(quads)), F.lit(anon_prefix)
+    c, anon = check_lines(rows, "_raw", F.lit(quads), values=False), F.lit(anon_prefix)
     text = unescape(F.regexp_extract("o", rf'(?s)^"({BODY})"', 1))
-    lang = F.regexp_extract("o", rf'(?s)^"{BODY}"@(.*)$', 1)
-    dt = F.regexp_extract("o", rf'(?s)^"{BODY}"\^\^<(.*)>$', 1)
+    lang = F.regexp_extract("o", rf'(?s)^"{BODY}"@(.*)\z', 1)
+    dt = F.regexp_extract("o", rf'(?s)^"{BODY}"\^\^<(.*)>\z', 1)
     literal = F.col("o").startswith('"')
     cols = {
         "s": _resource(F.col("s"), anon), "p": _resource(F.col("p"), anon), "o": F.when(literal, text).otherwise(_resource(F.col("o"), anon)),

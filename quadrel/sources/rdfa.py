@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from quadrel.functions.prefixes import BUILT_IN
 from quadrel.schema import BNODE, DEFAULT_GRAPH, IRI, LITERAL, RDF, XSD
-from quadrel.sources.turtle import SCHEMA, hash_of
+from quadrel.sources.turtle import FLUSH, SCHEMA, as_frame, hash_of
 
 # Prefixes and terms that hold at the start of every document.
 INITIAL = BUILT_IN | {
@@ -119,9 +119,7 @@ class Extractor:
                 found = ctx["vocab"] + v
             else:
                 found = TERMS.get(v.lower())
-            if found and not found.startswith("_:"):
-                out.append(found)
-            elif found and value:
+            if found:
                 out.append(found)
         return out
 
@@ -266,8 +264,12 @@ def parse_documents(docs: DataFrame, base: str | None = None, graph: str | None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out: list[tuple] = []
             for path, content in zip(batch["path"], batch["text"]):
-                rows = Extractor(base or path, graph or DEFAULT_GRAPH, f"_:g{hash_of(path):08x}n").run(content or "")
-                yield pd.DataFrame([(*r, path, None) for r in rows], columns=[f.split()[0] for f in SCHEMA.split(", ")]).astype({"o_kind": "Int8", "line": "Int32"})
+                out += [(*r, path, None) for r in Extractor(base or path, graph or DEFAULT_GRAPH, f"_:g{hash_of(path):08x}n").run(content or "")]
+                if len(out) > FLUSH:
+                    yield as_frame(out)
+                    out = []
+            yield as_frame(out)
 
     return docs.select("path", "text").mapInPandas(run, SCHEMA)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quadrel.functions.prefixes import Prefixes, xml_namespace
 from quadrel.schema import BNODE, DEFAULT_GRAPH, IRI, LITERAL, RDF, TRIPLE, visible
-from quadrel.sources.turtle import SCHEMA, hash_of
+from quadrel.sources.turtle import FLUSH, SCHEMA, as_frame, hash_of
 
 _R, _XML = f"{{{RDF}}}", "{http://www.w3.org/XML/1998/namespace}"
 _SYNTAX = {_R + n for n in ("about", "ID", "nodeID", "resource", "datatype", "parseType", "aboutEach", "bagID")}
@@ -121,13 +121,17 @@ def parse_documents(docs: DataFrame, base: str | None = None, graph: str | None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out: list[tuple] = []
             for path, content in zip(batch["path"], batch["text"]):
                 reader = Reader(base or path, graph or DEFAULT_GRAPH, f"_:g{hash_of(path):08x}n")
                 try:
-                    rows = [(*r, path, None) for r in reader.parse(content or "")]
+                    out += [(*r, path, None) for r in reader.parse(content or "")]
                 except ET.ParseError as e:
-                    rows = [(*[None] * 8, path, str(e))]
-                yield pd.DataFrame(rows, columns=[f.split()[0] for f in SCHEMA.split(", ")]).astype({"o_kind": "Int8", "line": "Int32"})
+                    out.append((*[None] * 8, path, str(e)))
+                if len(out) > FLUSH:
+                    yield as_frame(out)
+                    out = []
+            yield as_frame(out)
 
     return docs.select("path", "text").mapInPandas(run, SCHEMA)
 

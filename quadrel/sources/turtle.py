@@ -277,15 +277,25 @@ class Parser:
 SCHEMA = "s string, p string, o string, o_kind tinyint, o_dt string, o_lang string, g string, line int, source string, error string"
 
 
+#: Statements that a task gives out at once.
+FLUSH = 20_000
+
+
+def as_frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[f.split()[0] for f in SCHEMA.split(", ")]).astype({"o_kind": "Int8", "line": "Int32"})
+
+
 def _parse_all(base: str | None, graph: str | None, on_error: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out: list[tuple] = []
             for path, content in zip(batch["path"], batch["text"]):
-                key = format(abs(hash_of(path)) % 16**8, "08x")
-                parser = Parser(content or "", base or path, graph or DEFAULT_GRAPH, f"_:g{key}n", on_error=on_error)
-                rows = parser.parse()
-                out = pd.DataFrame([(*r, path, None) for r in rows] + [(*[None] * 7, n, path, e) for n, e in parser.errors], columns=[f.split()[0] for f in SCHEMA.split(", ")])
-                yield out.astype({"o_kind": "Int8", "line": "Int32"})
+                parser = Parser(content or "", base or path, graph or DEFAULT_GRAPH, f"_:g{hash_of(path):08x}n", on_error=on_error)
+                out += [(*r, path, None) for r in parser.parse()] + [(*[None] * 7, n, path, e) for n, e in parser.errors]
+                if len(out) > FLUSH:
+                    yield as_frame(out)
+                    out = []
+            yield as_frame(out)
 
     return run
 

@@ -33,7 +33,7 @@ def monitor(changes: DataFrame, call: Callable[[DataFrame, int], None], checkpoi
 
 def event_counts(changes: DataFrame, time: str, late: str = "10 minutes", width: str = "1 day", by: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """Counts per window of event time; rows later than ``late`` behind the newest don't count."""
-    return changes.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), *by, "n")
+    return changes.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), *by, "n")
 
 
 def read_ntriples(spark: SparkSession, path: str, quads: bool = False, graph: str = "user") -> DataFrame:
