@@ -16,14 +16,15 @@ def hierarchy(links: DataFrame, child: str = "child", parent: str = "parent", wi
 
     Every node points at its parent; each round replaces the pointer by the pointer's own, doubling the jump, joining
     distances and path segments. A node is resolved when its pointer reaches a resolved node. Nodes left when a round
-    resolves nothing and the jump covers their number are on a loop or lead into one: after such a jump every pointer
-    lies on a loop, so the loops' nodes are exactly the pointers left. For a node on a loop root is the loop's smallest
-    node and depth -1; for one leading into a loop root is that loop's smallest node and depth -2; both have a null
-    path. Resolved rows are written once and not carried through later rounds.
+    resolves nothing are on a loop or lead into one. When the number of distinct pointers stays too, the jump permutes them,
+    so they are exactly the loops' nodes; when no smallest node on the way changes either, the jump covers the loops. For a node
+    on a loop root is the loop's smallest node and depth -1; for one leading into a loop root is that loop's smallest node and
+    depth -2; both have a null path. Resolved rows are written once and not carried through later rounds. Joins aren't
+    left to broadcasts: paths are small in files and large in memory.
 
     Links with a null end are left out, equal links count once, extra columns are ignored. Of several parents of a
     child the smallest is taken, so the result doesn't depend on row order. An empty table gives no rows. The number
-    of rounds is the logarithm of the greatest depth (or of the number of nodes on and before loops).
+    of rounds is the logarithm of the greatest depth (or of the longest way into and around a loop), and two.
     """
     edges = links.select(F.col(child).cast("string").alias("node"), F.col(parent).cast("string").alias("ptr")).where("node is not null and ptr is not null")
     ends = edges.unionByName(edges.select(F.col("ptr").alias("node"), F.lit(None).cast("string").alias("ptr")))
@@ -31,23 +32,25 @@ def hierarchy(links: DataFrame, child: str = "child", parent: str = "parent", wi
     seg = F.array("node") if with_path else F.array().cast("array<string>")
     done = [materialize(start.where("ptr is null").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), seg.alias("path")))]
     live = materialize(start.where("ptr is not null").select("node", "ptr", F.lit(1).alias("dist"), F.col("node").alias("least"), seg.alias("seg")))
-    left, before, jump = live.count(), -1, 1
-    while left and not (left == before and jump >= left):
+    left, before, stable = live.count(), None, False
+    while left and not stable:
         target = (
             reduce(DataFrame.unionByName, done)
             .select(F.col("node").alias("ptr"), F.col("root").alias("t_root"), F.col("depth").alias("t_dist"), F.lit(None).cast("string").alias("t_ptr"), F.lit(None).cast("string").alias("t_least"), F.col("path").alias("t_seg"))
             .unionByName(live.select(F.col("node").alias("ptr"), F.lit(None).cast("string").alias("t_root"), F.col("dist").alias("t_dist"), F.col("ptr").alias("t_ptr"), F.col("least").alias("t_least"), F.col("seg").alias("t_seg")))
         )
         step = materialize(
-            (lookup_join if left >= MIN_HOT else DataFrame.join)(live, target, "ptr", "inner").select(
+            (lookup_join if left >= MIN_HOT else DataFrame.join)(live, target.hint("merge"), "ptr", "inner").select(
                 "node", F.col("t_root").alias("root"), F.col("t_ptr").alias("ptr"), (F.col("dist") + F.col("t_dist")).alias("dist"),
-                F.least("least", "t_least").alias("least"), F.concat("t_seg", "seg").alias("seg"),
+                F.least("least", "t_least").alias("least"), F.concat("t_seg", "seg").alias("seg"), (F.col("t_least") < F.col("least")).alias("lower"),
             )
         )
         done.append(step.where("root is not null").select("node", "root", F.col("dist").alias("depth"), F.col("seg").alias("path")))
         release(live)
-        live, before, jump = step.where("root is null").select("node", "ptr", "dist", "least", "seg"), left, jump * 2
-        left = live.count()
+        rest = step.where("root is null")
+        state = rest.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ptr").alias("pointers"), F.count(F.when(F.col("lower"), 1)).alias("lower")).collect()[0]
+        live, left = rest.select("node", "ptr", "dist", "least", "seg"), state["n"]
+        stable, before = before == (left, state["pointers"]) and not state["lower"], (left, state["pointers"])
     result = reduce(DataFrame.unionByName, done)
     if left:
         loops = live.select(F.col("ptr").alias("node")).distinct()
