@@ -52,7 +52,7 @@ class Parser:
         self.count, self.labels = 0, {}
         self.pos, self.line = 0, 1
         self.kind = self.value = ""
-        self.at_line = 1
+        self.at_line, self.begin = 1, 0
 
     # Reading of terminals.
 
@@ -60,12 +60,12 @@ class Parser:
         while self.pos < len(self.text):
             m = _SCAN.match(self.text, self.pos)
             if not m:
-                self.at_line = self.line
+                self.at_line, self.begin = self.line, self.pos
                 raise TurtleError(f"line {self.line}: unexpected {self.text[self.pos:self.pos + 10]!r}")
-            self.pos, here = m.end(), self.line
+            start, self.pos, here = self.pos, m.end(), self.line
             self.line += m[0].count("\n")
             if m.lastgroup != "space":
-                self.kind, self.value, self.at_line = m.lastgroup, m[0], here
+                self.kind, self.value, self.at_line, self.begin = m.lastgroup, m[0], here, start
                 return
         self.kind, self.value, self.at_line = "end", "", self.line
 
@@ -96,14 +96,13 @@ class Parser:
         if self.on_error == "error":
             raise error
         self.errors.append((self.at_line, str(error)))
-        m = re.compile(r"\.[ \t]*(?:#[^\n]*)?(?:\r?\n|$)").search(self.text, self.pos)
-        self.line += self.text.count("\n", self.pos, m.end() if m else len(self.text))
+        m = re.compile(r"\.[ \t]*(?:#[^\n]*)?(?:\r?\n|$)").search(self.text, self.begin)
+        self.line = self.at_line + self.text.count("\n", self.begin, m.end() if m else len(self.text))
         self.pos = m.end() if m else len(self.text)
         self.graph = self.default
         try:
             self.next()
         except TurtleError as e:
-            self.pos += 1
             self.recover(e)
 
     def statement(self) -> None:
