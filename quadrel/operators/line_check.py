@@ -23,6 +23,11 @@ BAD_IRI = r"[\x00-\x20\x7f-\x9f<>\"{}|^`\\]"
 LANG = r"^[A-Za-z]{1,8}(-[A-Za-z0-9]{1,8})*\z"
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row: projections and filters aren't merged through a generator."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def _literal_fault(term: Column, values: bool) -> Column:
     """Whether a well-quoted literal has a faulty tag, datatype IRI or value."""
     lang = F.regexp_extract(term, rf"(?s)^\"{BODY}\"@(.*)\z", 1)
@@ -49,12 +54,14 @@ def check_lines(lines: DataFrame, raw: str = "raw_line", quads: Column | None =
     quads = F.coalesce(quads if quads is not None else F.lit(False), F.lit(False))
     line = F.regexp_replace(F.col(raw), r"[\r\n]+\z", "")
     blank = F.col(raw).isNull() | F.col(raw).rlike(r"^[ \t\r\n]*(#|\z)")
-    out = lines.withColumn("_t", F.when(~blank, F.regexp_extract_all(line, F.lit(TOKEN), 0)))
+    out = _once(lines, "_t", F.when(~blank, F.regexp_extract_all(line, F.lit(TOKEN), 0)))
     is_literal = lambda t: t.rlike(rf"(?s)^{LITERAL}\z")
     is_iri = lambda t: t.rlike(r"(?s)^<.*>\z")
     is_node = lambda t: t.rlike(r"^_:[^ \t<>\"]+\z")
     ended = F.element_at("_t", -1).rlike(r"(?s)^\.[ \t\r]*(#.*)?\z") | (F.element_at("_t", -1).startswith("#") & F.get("_t", F.size("_t") - 2).rlike(r"^\.\z"))
-    out = out.withColumn("_ended", F.coalesce(ended, F.lit(False))).withColumn("_terms", F.filter("_t", lambda t: ~(t.rlike(r"(?s)^\.[ \t\r]*(#.*)?\z") | t.startswith("#"))))
+    # Generated rows keep the optimiser from repeating the cutting for every use of the terms.
+    cut = F.struct(F.coalesce(ended, F.lit(False)).alias("ended"), F.filter("_t", lambda t: ~(t.rlike(r"(?s)^\.[ \t\r]*(#.*)?\z") | t.startswith("#"))).alias("terms"))
+    out = _once(_once(out, "_c", cut).withColumn("_ended", F.col("_c.ended")), "_terms", F.col("_c.terms")).drop("_c")
     s, p, o, g = (F.get("_terms", F.lit(i)) for i in range(4))
     count = F.size("_terms")
     quoting = F.exists("_terms", lambda t: t.contains('"') & ~is_iri(t) & ~is_literal(t))
@@ -66,7 +73,7 @@ def check_lines(lines: DataFrame, raw: str = "raw_line", quads: Column | None =
     )
     rules = [("quoting", quoting), ("columns", columns), ("value", value)]
     errors = F.when(blank, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules])))
-    out = out.withColumn("errors", errors).withColumn("is_statement", ~blank & (F.size("errors") == 0))
+    out = _once(out, "errors", errors).withColumn("is_statement", ~blank & (F.size("errors") == 0))
     cols = {n: F.when(F.col("is_statement"), t) for n, t in (("s", s), ("p", p), ("o", o), ("g", g))}
     return out.withColumns(cols).drop("_t", "_ended", "_terms")
 
