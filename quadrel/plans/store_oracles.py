@@ -140,4 +140,12 @@ SELECT s, g, line FROM b UNION ALL SELECT s, g, line FROM m WHERE NOT EXISTS (SE
     "turtle_roundtrip": f"WITH {_STAR} SELECT DISTINCT s, p, o, o_kind FROM st", "rdfxml_roundtrip": f"WITH {_STAR} SELECT DISTINCT s, p, o, o_kind FROM st WHERE s LIKE '{EX}nation/%' OR s LIKE '{EX}region/%'",
     "json_result_rows": f"SELECT '{EX}nation/' || n_nationkey AS n, 0 AS n_kind, n_name AS name, 2 AS name_kind, NULL AS missing FROM nation", "graph_isomorphic": "SELECT 0 AS n_different",
     "lang_tags": f"{_W} SELECT o_lang, count(*) AS n, o_lang = 'en' OR starts_with(o_lang, 'en-') AS english FROM live WHERE o_lang IS NOT NULL GROUP BY o_lang",
+    "rdfa_rows": f"SELECT '{EX}nation/' || n_nationkey AS s, '{TYPE}' AS p, '{EX}Nation' AS o, 0 AS o_kind FROM nation UNION ALL SELECT '{EX}nation/' || n_nationkey, '{EX}name', n_name, 2 FROM nation UNION ALL SELECT '{EX}nation/' || n_nationkey, '{EX}inRegion', '{EX}region/' || n_regionkey, 0 FROM nation",
+    "xml_result_rows": "SELECT r_name AS name, 2 AS name_kind, 'en' AS name_lang, NULL AS missing FROM region",
+    "persist_roundtrip": f"{_W} SELECT g, count(*) AS triples FROM live GROUP BY g",
+    "edit_undo_redo": f"{_W} SELECT p, count(*) AS n FROM (SELECT DISTINCT s, p, o, o_kind, o_dt, o_lang, g, line FROM live WHERE p <> '{VOC}linksTo') GROUP BY p",
+    "import_closure": f"SELECT '{EX}nation/0' AS id, 0 AS level UNION ALL SELECT '{EX}region/' || n_regionkey, 1 FROM nation WHERE n_nationkey = 0",
+    "list_retract": f"WITH {_LINE}, w AS (SELECT count(*) AS n FROM ln WHERE k <> (SELECT min(l_orderkey) FROM lineitem)) SELECT unnest(['{TYPE}', '{RDF}first', '{RDF}rest']) AS p, n AS triples FROM w",
+    "literal_map_find": "WITH k AS (SELECT CAST(lit_id AS VARCHAR) AS value, strip_accents(lower(token)) AS key FROM rdf_litindex WHERE token IS NOT NULL AND lit_id IS NOT NULL) SELECT value FROM k WHERE key = 'of' INTERSECT SELECT value FROM k WHERE key = 'near' EXCEPT SELECT value FROM k WHERE key = 'the'",
+    "members_of_sets": f"WITH {_LINE}, m AS (SELECT DISTINCT 'l' || k AS s, member FROM ln UNION SELECT 'r' || n_regionkey, '{EX}nation/' || n_nationkey FROM nation) SELECT member, count(*) AS n FROM m GROUP BY member",
 }

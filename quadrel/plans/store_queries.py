@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrel.edit import Editor
 from quadrel.functions import literals as lit
 from quadrel.functions import terms
 from quadrel.functions.prefixes import Prefixes, split_url
@@ -17,8 +19,8 @@ from quadrel.operators.ranking import ranked
 from quadrel.operators.text_index import Q
 from quadrel.plans.mapping import EX, INVERSES, VOC, line_lists, region_bags, star, stored, table, with_schema
 from quadrel.schema import LITERAL, RDF, RDFS, TRIPLE, XSD, visible
-from quadrel.sources import ntriples, rdfxml, results, turtle, turtle_write
-from quadrel.storage import materialize
+from quadrel.sources import library, ntriples, persist, rdfa, rdfxml, results, turtle, turtle_write
+from quadrel.storage import materialize, shared_dir
 from quadrel.store import Store
 from quadrel.streaming import changes
 
@@ -476,3 +478,67 @@ def graph_isomorphic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lang_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language tags in use and whether they are English."""
     return visible(stored(spark, sf_dir)).where("o_lang is not null").groupBy("o_lang").agg(F.count(F.lit(1)).alias("n")).withColumn("english", lang_matches(F.col("o_lang"), "en"))
+
+
+@query
+def rdfa_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What marked-up pages say, one page made per nation."""
+    page = F.concat(F.lit(f'<html><body prefix="ex: {EX}"><div typeof="ex:Nation" resource="{EX}nation/'), F.col("n_nationkey").cast("string"), F.lit('"><b property="ex:name">'), F.col("n_name"), F.lit(f'</b><a rel="ex:inRegion" href="{EX}region/'), F.col("n_regionkey").cast("string"), F.lit('">r</a></div></body></html>'))
+    docs = table(spark, sf_dir, "nation").select(F.concat(F.lit("http://pages.example/"), F.col("n_nationkey").cast("string")).alias("path"), page.alias("text"))
+    return rdfa.parse_documents(docs).select("s", "p", "o", "o_kind")
+
+
+@query
+def xml_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of result documents in XML, one made per region."""
+    doc = F.concat(F.lit('<sparql xmlns="http://www.w3.org/2005/sparql-results#"><results><result><binding name="name"><literal xml:lang="EN">'), F.col("r_name"), F.lit("</literal></binding></result></results></sparql>"))
+    return results.read_xml(table(spark, sf_dir, "region").select(doc.alias("text")), ["name", "missing"]).select("name", "name_kind", "name_lang", "missing")
+
+
+@query
+def persist_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements per graph after saving the store and loading it."""
+    path = f"{shared_dir(spark)}/saved-{uuid.uuid4().hex}"
+    persist.save_db(stored(spark, sf_dir), path)
+    return statistics.by_graph(persist.load_db(spark, path))
+
+
+@query
+def edit_undo_redo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct statements per predicate after two edits, of which both are undone and the first is done again."""
+    editor = Editor(Store(spark, stored(spark, sf_dir)))
+    editor.retract(p=VOC + "linksTo")
+    editor.update("predicate", LABEL, p=VOC + "altLabel")
+    editor.undo()
+    editor.undo()
+    editor.redo()
+    return editor.store.quads.select(*TRIPLE, "g", "line").distinct().groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def import_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a nation brings with it, where nations import their regions."""
+    links = patterns.triples(star(spark, sf_dir), p=EX + "inRegion").select("s", F.lit(library.import_properties()["ontology"]).alias("p"), "o", "o_kind")
+    return library.to_load(links, EX + "nation/0")
+
+
+@query
+def list_retract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements left by predicate when the list of the first order is taken away."""
+    q = materialize(line_lists(spark, sf_dir))
+    first = table(spark, sf_dir, "lineitem").agg(F.min("l_orderkey").cast("string").alias("k")).select(terms.create_bnode(F.col("k"), F.lit(0), start="_:list")).collect()[0][0]
+    return statistics.by_predicate(lists.retract_list(q, first))
+
+
+@query
+def literal_map_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literals whose postings have two tokens and lack a third."""
+    pairs = table(spark, sf_dir, "rdf_litindex").where("token is not null and lit_id is not null").select(F.col("token").alias("key"), F.col("lit_id").alias("value"))
+    return text_index.LiteralMap(pairs).find(["of", "near", ("not", "the")])
+
+
+@query
+def members_of_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of lists and containers alike, counted by set of a container."""
+    both = region_bags(spark, sf_dir).unionByName(line_lists(spark, sf_dir))
+    return rdfs.members(materialize(both)).groupBy("member").agg(F.count(F.lit(1)).alias("n"))
