@@ -124,7 +124,8 @@ def _encode_long(path: str | None):
 
 def word_table(corpus_words: DataFrame, path: str | None = None) -> DataFrame:
     """Every distinct word with its number and ids: word, n, ids; ``corpus_words`` has an array ``w`` a row."""
-    counts = corpus_words.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # Written first: both ways read it, and the plan that holds the merges has one stage.
+    counts = materialize(corpus_words.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     size = F.octet_length("word")
     short = fold_merges(counts.where(size < LONG_WORD), path)
     long = counts.where(size >= LONG_WORD).mapInArrow(_encode_long(path), "word string, n bigint, ids array<int>")
