@@ -33,7 +33,11 @@ def closure(edges: DataFrame, a: str = "sub", b: str = "super") -> DataFrame:
 
 def subproperties(quads: DataFrame) -> DataFrame:
     """Pairs (sub, super) of the closure of rdfs:subPropertyOf."""
-    return closure(visible(quads).where((F.col("p") == RDFS + "subPropertyOf") & (F.col("o_kind") == IRI)).select(F.col("s").alias("sub"), F.col("o").alias("super")))
+    return closure(_property_links(quads))
+
+
+def _property_links(quads: DataFrame) -> DataFrame:
+    return visible(quads).where((F.col("p") == RDFS + "subPropertyOf") & (F.col("o_kind") == IRI)).select(F.col("s").alias("sub"), F.col("o").alias("super")).distinct()
 
 
 def matching_predicates(quads: DataFrame, p: str, inverses: dict[str, str] | None = None) -> list[tuple[str, bool]]:
@@ -41,9 +45,19 @@ def matching_predicates(quads: DataFrame, p: str, inverses: dict[str, str] | Non
     a symmetric predicate is its own. The list has at most ``SMALL`` names, else it is an error: then use ``has_all``."""
     inverses = inverses or {}
     both = inverses | {b: a for a, b in inverses.items()}
-    subs = [r["sub"] for r in subproperties(quads).where(F.col("super") == p).select("sub").limit(SMALL + 1).collect()]
-    if len(subs) > SMALL:
-        raise ValueError("too many sub-properties to list")
+    links = _property_links(quads)
+    known = links.limit(SMALL + 1).collect()
+    if len(known) <= SMALL:  # a hierarchy of this size is followed on the driver, in place of a loop of jobs
+        below: dict[str, list[str]] = {}
+        for r in known:
+            below.setdefault(r["super"], []).append(r["sub"])
+        subs, last = {p}, [p]
+        while last:
+            last = [x for y in last for x in below.get(y, []) if x not in subs and not subs.add(x)]
+    else:
+        subs = {r["sub"] for r in subproperties(quads).where(F.col("super") == p).select("sub").limit(SMALL + 1).collect()}
+        if len(subs) > SMALL:
+            raise ValueError("too many sub-properties to list")
     straight = sorted({p, *subs})
     return [(x, False) for x in straight] + [(both[x], True) for x in straight if x in both]
 
