@@ -6,9 +6,11 @@ import re
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from quadrel.storage import ship
+
 # The suffixes of Porter's steps 2, 3 and 4.
 STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log"}
 STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
@@ -116,9 +118,11 @@ def _compiled() -> list:
 
 def stem_column(word: Column) -> Column:
     """Arrow-batched; apply it to distinct words."""
+    ship(SparkSession.active())
     return F.pandas_udf(lambda s: s.map(stem, na_action="ignore"), "string")(word)
 
 
 def sounds_column(word: Column) -> Column:
     """The distinct codes of a word as an array; Arrow-batched; apply it to distinct words."""
+    ship(SparkSession.active())
     return F.pandas_udf(lambda s: pd.Series([None if w is None else sorted(set(sounds(w)) - {""}) for w in s]), "array<string>")(word)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from quadrel.functions.prefixes import BUILT_IN
 from quadrel.schema import BNODE, DEFAULT_GRAPH, IRI, LITERAL, RDF, XSD
+from quadrel.storage import ship
 from quadrel.sources.turtle import FLUSH, SCHEMA, as_frame, hash_of
 
 # Prefixes and terms that hold at the start of every document.
@@ -272,4 +273,5 @@ def parse_documents(docs: DataFrame, base: str | None = None, graph: str | None
                     out = []
             yield as_frame(out)
 
+    ship(docs.sparkSession)
     return docs.select("path", "text").mapInPandas(run, SCHEMA)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quadrel.functions.prefixes import Prefixes, xml_namespace
 from quadrel.schema import BNODE, DEFAULT_GRAPH, IRI, LITERAL, RDF, TRIPLE, visible
+from quadrel.storage import ship
 from quadrel.sources.turtle import FLUSH, SCHEMA, as_frame, hash_of
 
 _R, _XML = f"{{{RDF}}}", "{http://www.w3.org/XML/1998/namespace}"
@@ -133,6 +134,7 @@ def parse_documents(docs: DataFrame, base: str | None = None, graph: str | None
                     out = []
             yield as_frame(out)
 
+    ship(docs.sparkSession)
     return docs.select("path", "text").mapInPandas(run, SCHEMA)
 
 

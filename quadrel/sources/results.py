@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrel.storage import ship
+
 _TERM = "struct<type:string,value:string,datatype:string,`xml:lang`:string>"
 _NS = "{http://www.w3.org/2005/sparql-results#}"
 
@@ -50,6 +52,7 @@ def read_xml(docs: DataFrame, variables: list[str], text: str = "text") -> DataF
                     rows.append(row)
             yield pd.DataFrame(rows, columns=names).astype({f"{v}_kind": "Int8" for v in variables})
 
+    ship(docs.sparkSession)
     return docs.select(F.col(text).alias("text")).mapInPandas(run, schema)
 
 

@@ -9,6 +9,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from quadrel.storage import ship
 from quadrel.schema import BNODE, DEFAULT_GRAPH, IRI, LITERAL, RDF, XSD
 
 # The terminals of the grammar.
@@ -308,6 +309,7 @@ def hash_of(text: str) -> int:
 def parse_documents(docs: DataFrame, base: str | None = None, graph: str | None = None, on_error: str = "error") -> DataFrame:
     """Quads of documents (path, text), a document a unit of work: s, p, o, o_kind, o_dt, o_lang, g, line, source, error. Blank nodes are told
     apart by path. With on_error ``warning`` faults are rows with ``error`` set."""
+    ship(docs.sparkSession)
     return docs.select("path", "text").mapInPandas(_parse_all(base, graph, on_error), SCHEMA)
 
 

@@ -9,6 +9,7 @@ from quadrel.functions.prefixes import Prefixes
 from quadrel.operators.compare import coloured
 from quadrel.schema import LITERAL, RDF, TRIPLE, XSD, visible
 from quadrel.sources.ntriples import escape
+from quadrel.storage import ship
 
 
 def _node(c: Column, prefixes: Prefixes) -> Column:
@@ -69,6 +70,7 @@ def document(quads: DataFrame, prefixes: Prefixes | None = None, trig: bool = Fa
 def write(quads: DataFrame, path: str, prefixes: Prefixes | None = None, **options) -> None:
     """A folder of Turtle files, each with all prefixes: subjects are range-partitioned, texts are made where they are."""
     prefixes = prefixes or Prefixes()
+    ship(quads.sparkSession)
     head = header(prefixes)
     rows = subjects(quads, prefixes, **options).repartitionByRange("s").sortWithinPartitions("s").select("value")
 

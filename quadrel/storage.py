@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application, so that Arrow and pandas functions find it wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="quadrel-code-"), "quadrel.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(here):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("quadrel", os.path.relpath(full, here)))
+    spark.sparkContext.addPyFile(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back; the caller may ``release`` it."""
     spark = df.sparkSession
