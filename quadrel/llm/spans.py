@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrel.skew import counted_hot, lookup_join
-from quadrel.storage import materialize
+from quadrel.storage import materialize, ship
 
 #: Characters of a block that is hashed at once; bounds the memory of a task whatever the length of a text.
 BLOCK = 1 << 20
@@ -308,6 +308,7 @@ def shared_spans(docs: DataFrame, length: int = 150, doc_id: str = "doc_id", tex
     Null, empty and shorter texts and null ids give nothing. A record is an id: rows repeated under one id don't share with
     each other, but an id must not have two different texts. Empty in, empty out; other columns are ignored.
     """
+    ship(docs.sparkSession)
     texts = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= length))
     if cells is None:
         chars = texts.agg(F.sum(F.length("text"))).collect()[0][0] or 0

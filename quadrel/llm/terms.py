@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrel.storage import ship
+
 
 def _stack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of all prefixes of reverse-lexicographically sorted suffixes: a level of the stack per prefix of the current
@@ -67,6 +69,7 @@ def gram_counts(occurrences: DataFrame, record: str, position: str, term: str, m
     all rows gives each task a third of a task's fair share. Ties can't matter; empty in, empty out.
     """
     spark = occurrences.sparkSession
+    ship(spark)
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = occurrences.where(F.col(term).isNotNull() & F.col(record).isNotNull())
     at = rows.select(F.col(record).alias("r"), F.col(position).alias("p"), F.col(term).alias("t"), (F.col(order) if order else F.lit(0)).alias("o"))

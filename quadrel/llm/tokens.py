@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrel.storage import materialize
+from quadrel.storage import materialize, ship
 
 #: Words of this many bytes or more are merged by ``merge_long``; the fold over short ones takes steps quadratic in their length.
 LONG_WORD = 64
@@ -173,6 +173,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     Repeated rows and repeated or null ``doc_id`` are kept as they are; other columns are ignored; empty in, empty out.
     """
     spark = docs.sparkSession
+    ship(spark)
     _, pattern = vocabulary(path)
     texts = docs.select(F.col(doc_id).alias("doc_id"), words(F.coalesce(F.col(text), F.lit("")), pattern).alias("w"))
     table = materialize(word_table(texts.select("w"), path))
