@@ -155,3 +155,34 @@ def test_streaming_reader(spark, tmp_path):
     q = changes.read_ntriples(spark, str(tmp_path / "in")).writeStream.foreachBatch(lambda df, n: out.extend(r["s"] for r in df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert out == ["a"]
+
+
+def whole_star():
+    """Every statement of the star over the smallest tables, by SQL of its own; literals are kind 2, links kind 0."""
+    import duckdb
+
+    small, ex = "/root/testdata/sf0.001", "http://example.org/"
+    cents = "cast(cast(round({} * 100) AS BIGINT) AS VARCHAR)".format
+    columns = {
+        ("region", "r_regionkey"): {"name": "r_name"}, ("nation", "n_nationkey"): {"name": "n_name", "inRegion": ("region", "n_regionkey")},
+        ("customer", "c_custkey"): {"name": "c_name", "segment": "c_mktsegment", "inNation": ("nation", "c_nationkey"), "balance": cents("c_acctbal")},
+        ("supplier", "s_suppkey"): {"name": "s_name", "inNation": ("nation", "s_nationkey"), "balance": cents("s_acctbal")},
+        ("part", "p_partkey"): {"name": "p_name", "brand": "p_brand", "kind": "p_type", "size": "cast(p_size AS VARCHAR)"},
+        ("orders", "o_orderkey"): {"status": "o_orderstatus", "priority": "o_orderpriority", "placedBy": ("customer", "o_custkey"), "total": cents("o_totalprice")},
+    }
+    out = set()
+    for (name, key), of in columns.items():
+        for p, c in of.items():
+            o, kind = (f"'{ex}{c[0]}/' || {c[1]}", 0) if isinstance(c, tuple) else (c, 2)
+            rows = duckdb.sql(f"SELECT '{ex}{name.removesuffix('s')}/' || {key}, {o} FROM '{small}/{name}.parquet' WHERE {key} IS NOT NULL AND {o} IS NOT NULL").fetchall()
+            out |= {(s, ex + p, o, kind) for s, o in rows}
+    return out
+
+
+def test_rdfxml_roundtrip_takes_the_whole_star(spark):
+    from quadrel.plans import store_queries
+
+    got = [tuple(r) for r in store_queries.rdfxml_roundtrip(spark, "/root/testdata/sf0.001").collect()]
+    want = whole_star()
+    assert len(got) == len(set(got)) == len(want) and set(got) == want
+    assert {s.split("/")[3] for s, *_ in got} == {"region", "nation", "customer", "supplier", "part", "order"}
