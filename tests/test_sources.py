@@ -186,3 +186,12 @@ def test_rdfxml_roundtrip_takes_the_whole_star(spark):
     want = whole_star()
     assert len(got) == len(set(got)) == len(want) and set(got) == want
     assert {s.split("/")[3] for s, *_ in got} == {"region", "nation", "customer", "supplier", "part", "order"}
+
+
+def test_turtle_roundtrip_keeps_every_link(spark):
+    from quadrel.plans import store_queries
+
+    got = [tuple(r) for r in store_queries.turtle_roundtrip(spark, "/root/testdata/sf0.001").collect()]
+    want = whole_star()
+    assert len(got) == len(set(got)) == len(want) and set(got) == want
+    assert sum(p == "http://example.org/placedBy" for _, p, *_ in got) > 1000
