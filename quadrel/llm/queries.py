@@ -88,6 +88,13 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture at the size of the corpus: sources that can't give their share are clamped at their cap, the others give more."""
+    sized, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    total = sized.join(targets.select("source").distinct(), "source", "left_semi").agg(F.sum("n_tokens")).collect()[0][0] or 0
+    return mix(sized, targets, total)
+
+
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares of tokens that the mixture reaches."""
     targets = table(spark, sf_dir, "mix_targets")
@@ -105,7 +112,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_share(docs, shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_pairs, p1_literals, p5_found, p5_kept, p8_ids, p8_decoded, p9_mix, p9_shares, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_pairs, p1_literals, p5_found, p5_kept, p8_ids, p8_decoded, p9_mix, p9_corpus, p9_shares, p10_found, p10_shared)}
 
 _TERM = "lower(trim(token, ' ' || chr(9) || chr(10) || chr(13) || chr(160)))"
 _SLOT = f"t AS (SELECT DISTINCT lit_id, pos, {_TERM} AS token FROM rdf_litindex WHERE token IS NOT NULL AND lit_id IS NOT NULL AND {_TERM} <> '')"

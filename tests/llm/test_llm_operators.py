@@ -185,3 +185,33 @@ def test_a_full_sketch_loses_nothing(spark, monkeypatch):
     docs = [(i, "".join(rng.choice("ab") for _ in range(200)) + "common passage that is long enough") for i in range(20)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert rows(shared_spans(df, 20, gram=6)) == brute_spans(docs, 20)
+
+
+def test_mix_of_a_stated_total_clamps_and_redistributes(spark):
+    data = [(i, "big", 10) for i in range(1000)] + [(2000 + i, "tiny", 10) for i in range(5)] + [(3000 + i, "mid", 10) for i in range(200)]
+    df = spark.createDataFrame(data, "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("big", 0.4, 1), ("tiny", 0.2, 3), ("mid", 0.4, 2)], "source string, target_share double, max_repeats int")
+    got = {r["source"]: r["tokens"] for r in shares(mix(df, targets, 9000), targets).collect()}
+    # tiny is clamped at 150, then mid at 4000 of the 4425 it should give, and big gives the rest.
+    assert got["tiny"] == 150 and got["mid"] == 4000 and got["big"] == pytest.approx(4850, abs=10)
+
+
+def test_corpus_mixture_clamps_and_redistributes(spark):
+    from quadrel.llm import queries
+
+    small = "/root/testdata/sf0.001"
+    sized = queries._sized(spark, small)
+    size = {r[0]: r[1] for r in sized.groupBy("source").agg(F.sum("n_tokens")).collect()}
+    got = {}
+    for r in queries.QUERIES["p9_corpus"](spark, small).collect():
+        got.setdefault(r["source"], []).append((r["n_tokens"], r["repeats"]))
+    targets = {r["source"]: (r["target_share"], r["max_repeats"]) for r in queries.table(spark, small, "mix_targets").collect()}
+    given = {s: sum(n * k for n, k in x) for s, x in got.items()}
+    longest = max(n for x in got.values() for n, _ in x)
+    clamped = {s for s in given if given[s] == size[s] * targets[s][1]}
+    free = set(given) - clamped
+    assert clamped and free and all(1 <= k <= targets[s][1] for s, x in got.items() for _, k in x)
+    assert sum(given.values()) == pytest.approx(sum(n for s, n in size.items() if s in targets), abs=longest * len(given))
+    left = sum(given[s] for s in free)
+    for s in free:
+        assert given[s] == pytest.approx(left * targets[s][0] / sum(targets[x][0] for x in free), abs=2 * longest)
