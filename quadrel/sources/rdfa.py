@@ -267,7 +267,7 @@ def parse_documents(docs: DataFrame, base: str | None = None, graph: str | None
         for batch in batches:
             out: list[tuple] = []
             for path, content in zip(batch["path"], batch["text"]):
-                out += [(*r, path, None) for r in Extractor(base or path, graph or DEFAULT_GRAPH, f"_:g{hash_of(path):08x}n").run(content or "")]
+                out += [(*r, path, None) for r in Extractor(base or path, graph or DEFAULT_GRAPH, f"_:g{hash_of(path)}n").run(content or "")]
                 if len(out) > FLUSH:
                     yield as_frame(out)
                     out = []

@@ -124,7 +124,7 @@ def parse_documents(docs: DataFrame, base: str | None = None, graph: str | None
         for batch in batches:
             out: list[tuple] = []
             for path, content in zip(batch["path"], batch["text"]):
-                reader = Reader(base or path, graph or DEFAULT_GRAPH, f"_:g{hash_of(path):08x}n")
+                reader = Reader(base or path, graph or DEFAULT_GRAPH, f"_:g{hash_of(path)}n")
                 try:
                     out += [(*r, path, None) for r in reader.parse(content or "")]
                 except ET.ParseError as e:

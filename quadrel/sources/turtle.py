@@ -290,7 +290,7 @@ def _parse_all(base: str | None, graph: str | None, on_error: str):
         for batch in batches:
             out: list[tuple] = []
             for path, content in zip(batch["path"], batch["text"]):
-                parser = Parser(content or "", base or path, graph or DEFAULT_GRAPH, f"_:g{hash_of(path):08x}n", on_error=on_error)
+                parser = Parser(content or "", base or path, graph or DEFAULT_GRAPH, f"_:g{hash_of(path)}n", on_error=on_error)
                 out += [(*r, path, None) for r in parser.parse()] + [(*[None] * 7, n, path, e) for n, e in parser.errors]
                 if len(out) > FLUSH:
                     yield as_frame(out)
@@ -300,10 +300,11 @@ def _parse_all(base: str | None, graph: str | None, on_error: str):
     return run
 
 
-def hash_of(text: str) -> int:
-    import zlib
+def hash_of(text: str) -> str:
+    """128 bits in hexadecimal digits, so that two paths with the same hash needn't be expected."""
+    import hashlib
 
-    return zlib.crc32(text.encode())
+    return hashlib.blake2b(text.encode(), digest_size=16).hexdigest()
 
 
 def parse_documents(docs: DataFrame, base: str | None = None, graph: str | None = None, on_error: str = "error") -> DataFrame:

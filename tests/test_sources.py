@@ -195,3 +195,16 @@ def test_turtle_roundtrip_keeps_every_link(spark):
     want = whole_star()
     assert len(got) == len(set(got)) == len(want) and set(got) == want
     assert sum(p == "http://example.org/placedBy" for _, p, *_ in got) > 1000
+
+
+def test_blank_nodes_of_paths_with_equal_crc32_stay_apart(spark):
+    import zlib
+
+    from quadrel.sources import turtle
+
+    a, b = "plumless", "buckeroo"
+    assert zlib.crc32(a.encode()) == zlib.crc32(b.encode())
+    for reader, doc in ((turtle, "<e:s> <e:p> [] ."), (rdfxml, f'<rdf:RDF xmlns:rdf="{RDF}" xmlns:e="e:"><rdf:Description><e:p>x</e:p></rdf:Description></rdf:RDF>'), (rdfa, '<div typeof="http://e/T"></div>')):
+        rows = reader.parse_documents(spark.createDataFrame([(a, doc), (b, doc)], "path string, text string"), base="http://b/").collect()
+        names = {r["source"]: {x for x in (r["s"], r["o"]) if x.startswith("_:")} for r in rows}
+        assert names[a] and names[b] and not names[a] & names[b]
