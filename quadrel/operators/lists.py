@@ -136,7 +136,7 @@ def containers(quads: DataFrame, kind: str) -> DataFrame:
 def alternatives(quads: DataFrame) -> DataFrame:
     """Alt containers: container, default (the first), others."""
     c = containers(quads, "Alt")
-    return c.select("container", F.get("members", F.lit(0)).alias("default"), F.slice("members", 2, 1 << 20).alias("others"))
+    return c.select("container", F.get("members", F.lit(0)).alias("default"), F.slice("members", F.lit(2), F.size("members")).alias("others"))
 
 
 def assert_containers(rows: DataFrame, container: str, members: str, kind: str, g: str = DEFAULT_GRAPH) -> DataFrame:

@@ -344,3 +344,12 @@ def test_persistence(spark, tmp_path):
     third = Store(spark)
     Persistent(third, path, access="read-only")
     assert col(third.triples(), "s") == ["a", "e"] and not os.path.exists(path + "/lock")
+
+
+def test_alternatives_keep_all_of_a_large_container(spark, monkeypatch):
+    n = (1 << 20) + 10
+    big = spark.range(1).select(F.lit("c").alias("container"), F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: x.cast("string")).alias("members"))
+    empty = spark.createDataFrame([("d", []), ("e", ["x"])], "container string, members array<string>")
+    monkeypatch.setattr(lists, "containers", lambda quads, kind: big.unionByName(empty))
+    got = lists.alternatives(None).select("container", "default", F.size("others").alias("n"), F.get("others", F.size("others") - 1).alias("last"))
+    assert sorted(map(tuple, got.collect())) == [("c", "1", n - 1, str(n)), ("d", None, 0, None), ("e", "x", 0, None)]
