@@ -5,33 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many keys are treated as hot, so what is broadcast for them has at most so many rows.
-MAX_HOT = 128
-#: A key with so many rows is hot.
+#: A key with fewer rows is never hot: a task reads that many without harm.
 MIN_HOT = 200_000
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int = MIN_HOT) -> list:
-    """The keys with ``min_rows`` rows or more, the largest ``MAX_HOT`` of them; map-side counts and a top-k."""
-    counts = df.groupBy(F.col(key).alias("k")).count().where(F.col("k").isNotNull() & (F.col("count") >= min_rows))
-    return [r["k"] for r in counts.orderBy(F.desc("count"), "k").limit(MAX_HOT).collect()]
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def counted_hot(counts: DataFrame, key: str, n: str) -> list:
-    """The hot keys of a frame that has the counts already."""
-    return [r[0] for r in counts.where(F.col(n) >= MIN_HOT).orderBy(F.desc(n), key).select(key).limit(MAX_HOT).collect()]
+def counted_hot(counts: DataFrame, key: str, n: str, min_rows: int | None = None) -> list[tuple]:
+    """(key, rows) of the hot keys of a frame that has the counts. At most as many keys as there are shuffle partitions can hold more rows than
+    a task's fair share, so the largest that many, found by a top-k, leave no hot key out."""
+    big = counts.where(F.col(key).isNotNull() & (F.col(n) >= (min_rows or MIN_HOT)))
+    return [tuple(r) for r in big.orderBy(F.desc(n), key).select(key, n).limit(_tasks(counts)).collect()]
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "left", min_rows: int = MIN_HOT, hot: list | None = None) -> DataFrame:
-    """``left`` joined with ``right``, which has one row a key (of several columns the first tells hot keys). Rows of hot keys meet a broadcast of at most
-    ``MAX_HOT`` right rows and stay where they are; all others are shuffled by the key. Null keys match nothing
-    and are kept by a left join. ``how`` is ``left`` or ``inner``; column names other than the key must differ. Hot keys that are known
-    already may be given, else they are counted."""
-    first = key if isinstance(key, str) else key[0]
-    hot = hot_keys(left, first, min_rows) if hot is None else hot[:MAX_HOT]
+def hot_keys(df: DataFrame, key: str, min_rows: int | None = None) -> list[tuple]:
+    """(key, rows) of the hot keys; counts are combined before the shuffle. ``df`` is run for it, so it should be a written table."""
+    return counted_hot(df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n")), "k", "n", min_rows)
+
+
+def lookup_join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "left", min_rows: int | None = None, hot: list[tuple] | None = None, rows: int | None = None) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key (of several columns the first tells hot keys).
+
+    Rows of a hot key are dealt over as many salts as the key has fair shares of the hot rows, and the key's one row in ``right`` is repeated for each salt: at
+    most two rows a shuffle partition in all, so no side is broadcast and none grows. What goes to all tasks is the list of hot keys, at most one a
+    shuffle partition. Null keys match nothing and are kept by a left join. ``how`` is ``left`` or ``inner``; column names other
+    than the key must differ. Hot keys that are known already may be given as ``hot``; ``rows``, the number of rows of ``left``, spares counting
+    where it is under the least number of a hot key."""
+    keys, least = [key] if isinstance(key, str) else list(key), min_rows or MIN_HOT
+    if hot is None:
+        hot = [] if rows is not None and rows < least else hot_keys(left, keys[0], least)
     if not hot:
-        return left.join(right, key, how)
-    is_hot = F.col(first).isin(hot)
-    some = left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how)
-    rest = left.where(~F.coalesce(is_hot, F.lit(False))).join(right.where(~is_hot), key, how)
-    return some.unionByName(rest)
+        return left.join(right, keys, how)
+    share = max(least, sum(n for _, n in hot) / _tasks(left))
+    kind = left.schema[keys[0]].dataType.simpleString()
+    salts = F.broadcast(left.sparkSession.createDataFrame([(k, int(-(-n // share))) for k, n in hot], f"`{keys[0]}` {kind}, _salts int"))
+    many = F.coalesce("_salts", F.lit(1))
+    # The partition's number is added, or rows that repeat in all columns would share one salt.
+    place = F.pmod(F.xxhash64(*left.columns) + F.spark_partition_id(), many).cast("int")
+    dealt = left.join(salts, keys[0], "left").withColumn("_salt", place).drop("_salts")
+    copied = right.join(salts, keys[0], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("_salts")
+    return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")

@@ -58,7 +58,8 @@ def test_hierarchy_matches_brute_force(spark, seed):
     rng = random.Random(seed)
     links = [(f"n{i}", f"n{rng.randrange(60) if rng.random() < 0.15 else rng.randrange(i)}") for i in range(1, 60)]
     links += [("x1", "x2"), ("x2", "x3"), ("x3", "x1"), ("y", "x2"), ("z", "z"), ("w", "z"), ("x1", "x2"), (None, "n1"), ("n5", None)]
-    links += [(f"c{i}", f"c{i + 1}") for i in range(37)]
+    links += [(f"c{i}", f"c{i + 1}") for i in range(37 + 60 * (seed == 2))] + [(f"e{i}", f"c{rng.randrange(37)}") for i in range(20)]
+    links += [(f"l{i}", f"l{(i + 1) % 45}") for i in range(45 * (seed == 3))] + [(f"t{i}", f"t{i + 1}" if i < 20 else "l7") for i in range(21 * (seed == 3))]
     df = spark.createDataFrame([(*x, "extra") for x in links], "child string, parent string, node string")
     got = hierarchy(df)
     assert {r["node"]: (r["root"], r["depth"], r["path"]) for r in got.collect()} == brute_tree(links)
@@ -68,10 +69,11 @@ def test_hierarchy_matches_brute_force(spark, seed):
 
 def test_hierarchy_with_hot_parents_and_empty(spark, monkeypatch):
     monkeypatch.setattr(skew, "MIN_HOT", 5)
-    monkeypatch.setattr("quadrel.operators.hierarchy.MIN_HOT", 5)
-    links = [(f"k{i}", "hub") for i in range(40)] + [("hub", "root")]
+    links = [(f"k{i}", "hub") for i in range(40)] + [("hub", "root")] + [(f"d{i}", "c19") for i in range(30)] + [(f"c{i}", f"c{i - 1}") for i in range(1, 20)]
     got = hierarchy(spark.createDataFrame(links, "child string, parent string"), with_path=False)
     assert {r["node"]: (r["root"], r["depth"]) for r in got.collect()} == {n: v[:2] for n, v in brute_tree(links).items()}
+    got = hierarchy(spark.createDataFrame(links, "child string, parent string"))
+    assert {r["node"]: (r["root"], r["depth"], r["path"]) for r in got.collect()} == brute_tree(links)
     assert hierarchy(spark.createDataFrame([], "child string, parent string")).count() == 0
 
 
@@ -167,6 +169,9 @@ def test_lookup_join_splits_hot_keys(spark):
     right = spark.createDataFrame([("hot", 1), ("a", 2)], "k string, w int")
     assert rows(skew.lookup_join(left, right, "k", min_rows=10)) == rows(left.join(right, "k", "left").select("k", "v", "w"))
     assert skew.lookup_join(left, right, "k", "inner", min_rows=10).count() == 21
+    assert skew.hot_keys(left, "k", 10) == [("hot", 20)]
+    same = spark.createDataFrame([("hot", 1)] * 200, "k string, v int").repartition(8)
+    assert skew.lookup_join(same, right, "k", "inner", min_rows=10).count() == 200
 
 
 def test_long_line_is_read(spark):
