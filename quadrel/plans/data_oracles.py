@@ -28,9 +28,13 @@ def _field(name: str) -> str:
 
 _FINAL = f"SELECT graph, line, nullif(subject, chr(1)) AS subject, nullif(predicate, chr(1)) AS predicate, nullif(object, chr(1)) AS object FROM (SELECT graph, line, {_field('subject')}, {_field('predicate')}, {_field('object')} FROM b)"
 
-_WHOLE = """whole AS (SELECT graph, min(seq) AS m FROM (SELECT graph, seq, lead(seq) OVER (PARTITION BY graph ORDER BY seq) AS nx FROM e0) WHERE nx IS DISTINCT FROM seq + 1 GROUP BY graph),
-shown AS (SELECT w.graph, CASE WHEN max(CASE WHEN action = 'begin' THEN seq END) > coalesce(max(CASE WHEN action = 'end' THEN seq END), -1e18)
-    THEN max(CASE WHEN action = 'begin' THEN seq END) - 1 ELSE w.m END AS m FROM whole w JOIN e0 ON e0.graph = w.graph AND e0.seq <= w.m GROUP BY w.graph, w.m),
+#: Committed entries: from seq 1 to the first gap, and of these up to the last place where no transaction is open. The depth after a mark is
+#: the sum of begins less ends since the sum was lowest, as an end without a begin changes nothing.
+_WHOLE = """whole AS (SELECT graph, min(seq) AS m FROM (SELECT graph, seq, lead(seq) OVER (PARTITION BY graph ORDER BY seq) AS nx
+    FROM (SELECT graph, seq FROM e0 WHERE seq >= 1 UNION ALL SELECT DISTINCT graph, 0 FROM e0)) WHERE nx IS DISTINCT FROM seq + 1 GROUP BY graph),
+run AS (SELECT e0.graph, seq, action, w.m, sum(CASE action WHEN 'begin' THEN 1 WHEN 'end' THEN -1 ELSE 0 END) OVER (PARTITION BY e0.graph ORDER BY seq) AS s FROM e0 JOIN whole w ON w.graph = e0.graph AND seq <= w.m),
+depth AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY graph ORDER BY seq)) AS d FROM run),
+shown AS (SELECT graph, max(seq) AS m FROM depth WHERE d = 0 GROUP BY graph),
 e AS (SELECT e0.* FROM e0 JOIN shown s ON s.graph = e0.graph AND e0.seq <= s.m)"""
 
 _KINDS = {"double": "heightM areaHa lat lon", "integer": "storeys ward rating", "date": "built closed", "boolean": "listed open", "string": "code"}

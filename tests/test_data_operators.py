@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quadrel import skew
 from quadrel.operators.hierarchy import descendants, hierarchy
 from quadrel.operators.line_check import error_counts, read_loads
-from quadrel.operators.replay import replay
+from quadrel.operators.replay import clean_feed, replay, watermark
 from quadrel.operators.tree_aggregate import heavy_keys, tree_statistics
 from quadrel.operators.wide import cells_of, wide_table
 
@@ -123,8 +123,40 @@ def test_replay_matches_brute_force(spark, seed):
 def test_replay_holds_gaps_and_open_transactions(spark):
     a = lambda g, seq, action, line=None, s=None: (g, seq, 1, action, line, s, "p", "o", None, None, "x")
     feed = [a("gap", 1, "assert", 1, "a"), a("gap", 2, "assert", 2, "b"), a("gap", 4, "retract", 1), a("open", 1, "begin"), a("open", 2, "assert", 1, "a"), a("open", 3, "end"), a("open", 4, "begin"), a("open", 5, "retract", 1)]
-    got = rows(replay(spark.createDataFrame(feed, FEED)).select("graph", "line", "subject"))
-    assert got == [("gap", 1, "a"), ("gap", 2, "b"), ("open", 1, "a")]
+    feed += [a("late", 5, "assert", 1, "a"), a("late", 6, "assert", 2, "b")]
+    feed += [a("nest", 1, "begin"), a("nest", 2, "assert", 1, "a"), a("nest", 3, "begin"), a("nest", 4, "assert", 2, "b"), a("nest", 5, "end"), a("nest", 6, "assert", 3, "c")]
+    feed += [a("stray", 1, "end"), a("stray", 2, "begin"), a("stray", 3, "assert", 1, "a"), a("stray", 4, "end"), a("stray", 5, "assert", 2, "b")]
+    df = spark.createDataFrame(feed, FEED)
+    got = rows(replay(df).select("graph", "line", "subject"))
+    assert got == [("gap", 1, "a"), ("gap", 2, "b"), ("open", 1, "a"), ("stray", 1, "a"), ("stray", 2, "b")]
+    assert {(r["graph"], r["line"]) for r in replay(df, first_seq=5).collect()} >= {("late", 1), ("late", 2)}
+    ended = rows(replay(df, at_end=True).select("graph", "line", "subject"))
+    assert ended == [("gap", 2, "b"), ("late", 1, "a"), ("late", 2, "b"), ("nest", 1, "a"), ("nest", 2, "b"), ("nest", 3, "c"), ("stray", 1, "a"), ("stray", 2, "b")]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_watermark_matches_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr("quadrel.operators.replay.BLOCK", 7)
+    monkeypatch.setattr(skew, "MIN_HOT", 20)
+    rng = random.Random(seed)
+    feed, limit = [], {}
+    for g in ("a", "b", "c", "d", "e"):
+        depth, shown, whole = 0, 0, True
+        skip = {rng.randrange(1, 120) for _ in range(rng.randrange(2))}
+        for seq in range(1, 100):
+            action = rng.choices(["begin", "end", "assert", "update"], [2, 2.2, 5, 1])[0]
+            whole = whole and seq not in skip
+            if seq not in skip:
+                feed.append((g, seq, 1, action, rng.randrange(9), f"s{seq}", "p", "o", "subject", f"u{seq}", "x"))
+            depth = depth + 1 if action == "begin" else max(0, depth - 1) if action == "end" else depth
+            if whole and depth == 0:
+                shown = seq
+        limit[g] = shown
+    rng.shuffle(feed)
+    df = spark.createDataFrame(feed, FEED)
+    assert {r["graph"]: r["shown"] for r in watermark(clean_feed(df)).collect()} == limit
+    assert rows(replay(df)) == brute_replay(feed, limit)
+    assert rows(replay(df, at_end=True)) == brute_replay(feed)
 
 
 def test_wide_table(spark):
