@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +57,25 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Frames materialised within are released at the end, but for those handed to the function it gives: ``with scratch() as keep: out = keep(materialize(...))``."""
+    before, kept = set(_written.get(0, [])), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(getattr(df, "_quadrel_path", None))
+        return df
+
+    spark = None
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _written.get(0, []) if p not in before and p not in kept]:
+            spark = spark or SparkSession.active()
+            _written[0].remove(path)
+            _delete(spark, path)
+
+
 def release(*frames: DataFrame) -> None:
     """Deletes the files of materialised frames that nothing reads any more."""
     for df in frames:
