@@ -10,7 +10,7 @@ from quadrel.llm.mixing import mix, shares
 from quadrel.llm.spans import shared_share, shared_spans
 from quadrel.llm.terms import gram_counts, marked
 from quadrel.llm.tokens import decode, encode
-from quadrel.storage import materialize
+from quadrel.storage import materialize, scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,8 +79,9 @@ def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return materialize(docs.select("doc_id", "source").join(encode(docs).select("doc_id", F.size("ids").alias("n_tokens")), "doc_id"))
+    """Every document's source and number of tokens; a document is a row, whatever its id."""
+    with scratch() as keep:
+        return keep(materialize(encode(table(spark, sf_dir, "documents"), keep=("source",)).select("doc_id", "source", F.size("ids").alias("n_tokens"))))
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,13 +13,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrel.skew import counted_hot, lookup_join
 from quadrel.storage import materialize, ship
 
-#: Words of this many bytes or more are merged by ``merge_long``; the fold over short ones takes steps quadratic in their length.
+#: In words of this many bytes or more a step of the fold joins all places of the lowest pair, in shorter ones the leftmost place: it keeps the ranks of
+#: the neighbourhoods, which pays where a word is short, but takes as many steps as there are joins.
 LONG_WORD = 64
-#: The most frequent words, whose ids are sent to all tasks: at most so many, whatever the corpus. Of each word at most
-#: ``LONG_WORD`` bytes and as many ids, so at most 32 MB; usually 2 MB.
-FREQUENT_WORDS = 1 << 16
+#: The most frequent words, whose ids are sent to all tasks: at most so many, whatever the corpus, and of at most so many bytes each,
+#: so at most 64 MB of words and ids; usually 2 MB. Longer or rarer words are joined, hot ones by salts.
+FREQUENT_WORDS, FREQUENT_BYTES = 1 << 16, 256
 _BUCKETS = 1 << 14
 _STEP = 1 << 20
 _NEVER = 2**31 - 1
@@ -72,10 +74,17 @@ def words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)" + pattern), 0)
 
 
+def _let(value: Column, body) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold_merges(coded: DataFrame, path: str | None = None) -> DataFrame:
-    """``coded`` (a column ``word``) with ``ids``: a fold over the bytes of the word that joins, step by step, the leftmost
-    neighbours of lowest rank. Its state is the ids of the pieces and the ranks of their neighbourhoods, of which a step changes
-    two. The merges are one literal: an array of small maps, as a lookup in a single map would compare all its keys."""
+    """``coded`` (a column ``word``) with ``ids``: a fold of ranked merges over the bytes of the word. The merges are one literal:
+    an array of small maps, as a lookup in a single map would compare all its keys.
+
+    For words under ``LONG_WORD`` bytes a step joins the leftmost neighbours of lowest rank; the state is the ids of the pieces and the ranks
+    of their neighbourhoods, of which a step changes two. For longer ones a step joins all places of the lowest pair from left to right: a piece
+    that is joined ranks above its parts, so no pair made by a join can come before the other places of the same pair. Both give the same ids."""
     of_bytes, merges = _merge_json(path)
     byte_ids, table = F.from_json(F.lit(of_bytes), "array<bigint>"), F.from_json(F.lit(merges), "array<map<string,int>>").cast("array<map<bigint,int>>")
 
@@ -83,8 +92,9 @@ def fold_merges(coded: DataFrame, path: str | None = None) -> DataFrame:
         key = a * _STEP + b
         return F.coalesce(F.element_at(F.get(table, (key % _BUCKETS).cast("int")), key), F.lit(_NEVER))
 
-    def let(value: Column, body) -> Column:
-        return F.get(F.transform(F.array(value), body), F.lit(0))
+    def ranks_of(ids: Column) -> Column:
+        n = F.size(ids)
+        return F.zip_with(F.slice(ids, F.lit(1), n - 1), F.slice(ids, F.lit(2), n), rank)
 
     def join(acc: Column, least: Column, at: Column) -> Column:
         ids, ranks, new = acc["ids"], acc["ranks"], least.cast("bigint")
@@ -98,13 +108,27 @@ def fold_merges(coded: DataFrame, path: str | None = None) -> DataFrame:
 
     def step(acc: Column, _: Column) -> Column:
         some = F.size(acc["ranks"]) > 0
-        return F.when(some, let(F.array_min(acc["ranks"]), lambda m: F.when(m == _NEVER, acc).otherwise(let(F.array_position(acc["ranks"], m).cast("int"), lambda at: join(acc, m, at))))).otherwise(acc)
+        return F.when(some, _let(F.array_min(acc["ranks"]), lambda m: F.when(m == _NEVER, acc).otherwise(_let(F.array_position(acc["ranks"], m).cast("int"), lambda at: join(acc, m, at))))).otherwise(acc)
+
+    def sweep(ids: Column, ranks: Column, least: Column) -> Column:
+        # In a row of places that overlap every other one is joined; 1 marks the first piece of a join.
+        marks = F.array_join(F.transform(ranks, lambda r: F.when(r == least, "1").otherwise("0")), "")
+        chosen = F.split(F.regexp_replace(marks, "11", "10"), "")
+        return _let(chosen, lambda at: F.filter(
+            F.transform(ids, lambda x, i: F.when(F.get(at, i) == "1", least.cast("bigint")).when((i > 0) & (F.get(at, i - 1) == "1"), F.lit(-1)).otherwise(x)), lambda x: x >= 0))
+
+    def sweep_step(acc: Column, _: Column) -> Column:
+        stop = F.struct(acc["ids"].alias("ids"), F.lit(True).alias("over"))
+        go = lambda ranks: _let(F.array_min(ranks), lambda m: F.when(m.isNull() | (m == _NEVER), stop).otherwise(F.struct(sweep(acc["ids"], ranks, m).alias("ids"), F.lit(False).alias("over"))))
+        return F.when(acc["over"], acc).otherwise(_let(ranks_of(acc["ids"]), go))
 
     latin = F.decode(F.encode("word", "utf-8"), "iso-8859-1")
     start = coded.withColumn("_ids", F.transform(F.split(latin, ""), lambda c: F.get(byte_ids, F.ascii(c))))
-    n = F.size("_ids")
-    state = F.struct(F.col("_ids").alias("ids"), F.zip_with(F.slice("_ids", 1, n - 1), F.slice("_ids", F.lit(2), n), rank).alias("ranks"))
-    return start.withColumn("ids", F.aggregate(F.array_repeat(F.lit(0), n - 1), state, step, lambda acc: F.transform(acc["ids"], lambda i: i.cast("int")))).drop("_ids")
+    ids, steps = F.col("_ids"), F.array_repeat(F.lit(0), F.size("_ids") - 1)
+    as_ints = lambda acc: F.transform(acc["ids"], lambda i: i.cast("int"))
+    by_place = F.aggregate(steps, F.struct(ids.alias("ids"), ranks_of(ids).alias("ranks")), step, as_ints)
+    by_pair = F.aggregate(steps, F.struct(ids.alias("ids"), F.lit(False).alias("over")), sweep_step, as_ints)
+    return start.withColumn("ids", F.when(F.octet_length("word") < LONG_WORD, by_place).otherwise(by_pair)).drop("_ids")
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -112,24 +136,12 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in merge_sweeps(word, ranks)]
 
 
-def _encode_long(path: str | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = vocabulary(path)[0]
-        for b in batches:
-            ids = [merge_long(w.encode(), ranks) for w in b.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
-
-    return run
-
-
 def word_table(corpus_words: DataFrame, path: str | None = None) -> DataFrame:
-    """Every distinct word with its number and ids: word, n, ids; ``corpus_words`` has an array ``w`` a row."""
-    # Written first: both ways read it, and the plan that holds the merges has one stage.
-    counts = materialize(corpus_words.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    size = F.octet_length("word")
-    short = fold_merges(counts.where(size < LONG_WORD), path)
-    long = counts.where(size >= LONG_WORD).mapInArrow(_encode_long(path), "word string, n bigint, ids array<int>")
-    return short.unionByName(long)
+    """Every distinct word with its number and ids: word, n, ids; ``corpus_words`` has an array ``w`` a row. Words are dealt anew
+    after they are counted, so that the tasks of the fold are alike in work and not in bytes."""
+    counts = corpus_words.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    tasks = 2 * int(corpus_words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return fold_merges(counts.repartition(tasks, F.xxhash64("word")), path)
 
 
 def _assemble(frequent):
@@ -156,39 +168,46 @@ def _assemble(frequent):
             ids[ends[:-1][where]] = -1 - (np.arange(len(where)) - doc_rare[np.searchsorted(start, where, side="right") - 1])
             out = pa.ListArray.from_arrays(pa.array(ends[start].astype(np.int32)), pa.array(ids))
             missing = pa.ListArray.from_arrays(pa.array(doc_rare.astype(np.int32)), vals.take(pa.array(where)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), out, missing], ["doc_id", "row", "ids", "rare"])
+            names = batch.schema.names[:-1]  # all columns but the words
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), out, missing], [*names, "ids", "rare"])
 
     return run
 
 
-def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """``doc_id`` and ``ids`` (ints) of every row, without special tokens; a null and an empty text both give an empty list.
+def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns ``keep`` and ``ids`` (ints) of every row, without special tokens; a null and an empty text both give an empty list.
 
     The corpus' distinct words are counted (combined before the shuffle) and each is encoded once, by a fold of ranked merges
     over its bytes in Spark's higher-order functions. The ids of the ``FREQUENT_WORDS`` most frequent words, a fixed bound, go to all
     tasks, which put texts together batch-wise; a word beyond them leaves a mark, and those words meet the word table by a
-    join on the word. All words are encoded alike; only the way of their ids differs. A text with such words gets them back
-    in one row, as many as it has. No row needs another's text, so long texts and hot sources don't matter.
+    join on the word, in which hot words (long ones, as a separator line) are salted. All words are encoded alike; only the way of their ids differs. A text
+    with such words gets them back in one row, as many as it has. No row needs another's text, so long texts and hot sources don't matter.
 
-    Repeated rows and repeated or null ``doc_id`` are kept as they are; other columns are ignored; empty in, empty out.
+    Repeated rows and repeated or null ``doc_id`` are kept as they are; other columns are ignored and may have any name, those of ``keep`` any
+    but doc_id, ids, row, rare, w. Empty in, empty out.
     """
     spark = docs.sparkSession
     ship(spark)
     _, pattern = vocabulary(path)
-    texts = docs.select(F.col(doc_id).alias("doc_id"), words(F.coalesce(F.col(text), F.lit("")), pattern).alias("w"))
+    kept = [F.col(c) for c in keep]
+    texts = docs.select(F.col(doc_id).alias("doc_id"), *kept, words(F.coalesce(F.col(text), F.lit("")), pattern).alias("w"))
     table = materialize(word_table(texts.select("w"), path))
-    top = table.where(F.octet_length("word") < LONG_WORD).orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).select("word", "ids").toArrow()
+    sent = F.octet_length("word") <= FREQUENT_BYTES
+    top = table.where(sent).orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).select("word", "ids", "n").toArrow()
     lists = top.column("ids").combine_chunks() if top.num_rows else pa.array([], pa.list_(pa.int32()))
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     offsets = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
     frequent = spark.sparkContext.broadcast((top.column("word").to_pylist(), offsets, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)))
-    kind = docs.schema[doc_id].dataType.simpleString()
-    coded = materialize(texts.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "w").mapInArrow(_assemble(frequent), f"doc_id {kind}, row bigint, ids array<int>, rare array<string>"))
+    types = ", ".join(f"`{c}` {docs.schema[c if c != 'doc_id' else doc_id].dataType.simpleString()}" for c in ("doc_id", *keep))
+    coded = materialize(texts.withColumn("row", F.monotonically_increasing_id()).select("doc_id", *kept, "row", "w").mapInArrow(_assemble(frequent), f"{types}, row bigint, ids array<int>, rare array<string>"))
     marks = coded.where(F.size("rare") > 0)
-    found = marks.select("row", F.posexplode("rare").alias("k", "word")).join(table.select("word", F.col("ids").alias("word_ids")), "word")
+    last = top.column("n")[-1].as_py() if top.num_rows else 0  # words not sent are rarer than all that are, or long
+    hot = counted_hot(table.where(~sent | (F.col("n") <= last)), "word", "n")
+    found = lookup_join(marks.select("row", F.posexplode("rare").alias("k", "word")), table.select("word", F.col("ids").alias("word_ids")), "word", "inner", hot=hot)
     back = found.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "word_ids"))), lambda x: x["word_ids"]).alias("fill"))
-    filled = marks.select("doc_id", "row", "ids").join(back, "row").select("doc_id", F.flatten(F.transform("ids", lambda i: F.when(i < 0, F.get("fill", -1 - i)).otherwise(F.array(i)))).alias("ids"))
-    return coded.where(F.size("rare") == 0).select("doc_id", "ids").unionByName(filled)
+    ids = F.flatten(F.transform("ids", lambda i: F.when(i < 0, F.get("fill", -1 - i)).otherwise(F.array(i))))
+    filled = marks.select("doc_id", *kept, "row", "ids").join(back, "row").select("doc_id", *kept, ids.alias("ids"))
+    return coded.where(F.size("rare") == 0).select("doc_id", *kept, "ids").unionByName(filled)
 
 
 def decode(ids: Column, path: str | None = None) -> Column:

@@ -12,7 +12,7 @@ from quadrel.llm.copies import canonical_lang, canonical_text, copies, copy_coun
 from quadrel.llm.mixing import mix, shares, water_fill
 from quadrel.llm.spans import shared_share, shared_spans
 from quadrel.llm.terms import gram_counts, marked
-from quadrel.llm.tokens import decode, encode, merge_long, vocabulary
+from quadrel.llm.tokens import fold_merges, decode, encode, merge_long, vocabulary
 
 
 def rows(df):
@@ -112,6 +112,33 @@ def test_long_words_merge_as_short_ones():
         assert merge_long(w.encode(), ranks) == [ranks[p] for p in pieces]
 
 
+def test_fold_of_long_words(spark):
+    ranks, _ = vocabulary()
+    rng = random.Random(4)
+    data = ["".join(rng.choice("abcdetherin=") for _ in range(n)) for n in (63, 64, 65, 200, 900)] + ["=" * 71, "a" * 130, "e" * 257, "é漢🌱" * 40, " " * 500]
+    got = fold_merges(spark.createDataFrame([(w,) for w in data], "word string")).collect()
+    assert {r["word"]: list(r["ids"]) for r in got} == {w: merge_long(w.encode(), ranks) for w in data}
+
+
+def test_encode_salts_hot_long_words(spark, monkeypatch):
+    from quadrel import skew
+
+    monkeypatch.setattr(skew, "MIN_HOT", 10)
+    monkeypatch.setattr(tokens, "FREQUENT_BYTES", 32)
+    texts = ["# " + "=" * 70 + f" {i}" for i in range(50)] + ["word " * 5, ""]
+    docs = spark.createDataFrame([(i % 40, t, f"s{i}", i) for i, t in enumerate(texts)], "doc_id long, text string, source string, n int")
+    got = sorted((r["source"], r["doc_id"], list(r["ids"])) for r in encode(docs, keep=("source",)).collect())
+    assert got == sorted((f"s{i}", i % 40, ids) for i, ids in enumerate(reference_ids(texts)))
+
+
+def test_sizes_keep_repeated_and_null_ids(spark, tmp_path):
+    from quadrel.llm import queries
+
+    rows_in = [(1, "one two", "a"), (1, "one two", "a"), (None, "x", "b"), (2, None, None)]
+    spark.createDataFrame(rows_in, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(queries._sized(spark, str(tmp_path))) == rows(spark.createDataFrame([(1, "a", 2), (1, "a", 2), (None, "b", 1), (2, None, 0)], "doc_id long, source string, n int"))
+
+
 def test_water_filling():
     sizes, caps = {"a": 100, "b": 10, "c": 50}, {"a": 1, "b": 2, "c": 4}
     assert water_fill({"a": 0.5, "b": 0.4, "c": 0.1}, sizes, caps, 100) == pytest.approx({"a": 100 * 0.8 * 5 / 6, "b": 20, "c": 100 * 0.8 / 6})
