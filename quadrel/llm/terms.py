@@ -8,51 +8,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrel.skew import counted_hot
 from quadrel.storage import ship
 
 
-def _stack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Occurrences of a term that a salt gets at least; bounds the record sets of its n-grams.
+SALT_ROWS = 100_000
+
+
+def _stack(max_n: int):
     """Counts of all prefixes of reverse-lexicographically sorted suffixes: a level of the stack per prefix of the current
-    suffix, with its count and the set of its records; a level is given out when the next suffix doesn't share it."""
-    path: list[str] = []
-    counts: list[int] = []
-    sets: list[set] = []
-    out: list[tuple[list[str], int, int]] = []
-
-    def pop_to(depth: int) -> None:
-        while len(path) > depth:
-            n, records = counts.pop(), sets.pop()
-            out.append((path.copy(), n, len(records)))
-            path.pop()
-            if path:
-                counts[-1] += n
-                if len(sets[-1]) < len(records):
-                    sets[-1], records = records, sets[-1]
-                sets[-1] |= records
-
-    def given() -> pa.RecordBatch:
-        grams, n, r = (list(x) for x in zip(*out)) if out else ([], [], [])
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(grams, pa.list_(pa.string())), pa.array(n, pa.int64()), pa.array(r, pa.int64())], ["gram", "n", "records"])
-
-    for batch in batches:
-        for suffix, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            same = 0
-            for a, b in zip(path, suffix):
-                if a != b:
-                    break
-                same += 1
-            pop_to(same)
-            for term in suffix[same:]:
-                path.append(term)
-                counts.append(0)
-                sets.append(set())
-            counts[-1] += 1
-            sets[-1].add(record)
-        if len(out) > 20_000:
-            yield given()
-    pop_to(0)
-    yield given()
+    suffix, with its count and its records; a level is given out when the next suffix doesn't share it. Equal suffixes are sorted by record, so the
+    records of a single term are counted as they change; only prefixes of longer suffixes need the set of theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path: list[str] = []
+        levels: list[list] = []  # occurrences, records where no set is kept, last record, set
+        out: list[tuple[list[str], int, int]] = []
+
+        def pop_to(depth: int) -> None:
+            while len(path) > depth:
+                n, changes, _, records = levels.pop()
+                out.append((path.copy(), n, changes if records is None else len(records)))
+                path.pop()
+                if path:
+                    above = levels[-1]
+                    above[0] += n
+                    if len(above[3]) < len(records):
+                        above[3], records = records, above[3]
+                    above[3] |= records
+
+        def given() -> pa.RecordBatch:
+            grams, n, r = (list(x) for x in zip(*out)) if out else ([], [], [])
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(grams, pa.list_(pa.string())), pa.array(n, pa.int64()), pa.array(r, pa.int64())], ["gram", "n", "records"])
+
+        for batch in batches:
+            for suffix, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                same = 0
+                for a, b in zip(path, suffix):
+                    if a != b:
+                        break
+                    same += 1
+                pop_to(same)
+                for term in suffix[same:]:
+                    path.append(term)
+                    levels.append([0, 0, None, None if max_n == 1 else set()])
+                top = levels[-1]
+                top[0] += 1
+                if top[3] is not None:
+                    top[3].add(record)
+                elif record != top[2]:
+                    top[1], top[2] = top[1] + 1, record
+            if len(out) > 20_000:
+                yield given()
+        pop_to(0)
+        yield given()
+
+    return run
 
 
 def gram_counts(occurrences: DataFrame, record: str, position: str, term: str, max_n: int = 1, order: str | None = None) -> DataFrame:
@@ -63,14 +76,15 @@ def gram_counts(occurrences: DataFrame, record: str, position: str, term: str, m
     greatest by ``order`` (then by text). Every occurrence starts a suffix of up to ``max_n`` terms, built by equi-joins
     on (record, position + 1), so a long record is spread too.
 
-    Suffixes are routed by their first term and a salt of the record, sorted reverse-lexicographically within the task and
+    Suffixes are routed by their first term, and those of a hot term by a salt of the record too, as many as it has
+    ``SALT_ROWS`` occurrences; sorted reverse-lexicographically and by record within the task, and
     counted with a stack of prefixes. A salt has all suffixes of its records, so the record sets of two salts are disjoint and
-    the counts of a hot term's salts add up. There are as many salts as shuffle partitions: a term that is a third of
-    all rows gives each task a third of a task's fair share. Ties can't matter; empty in, empty out.
+    the counts of a term's salts add up. At most as many terms as there are shuffle partitions can hold more than a task's fair
+    share, so the list of hot terms that goes to all tasks is bounded by that. Ties can't matter; empty in, empty out.
     """
     spark = occurrences.sparkSession
     ship(spark)
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = occurrences.where(F.col(term).isNotNull() & F.col(record).isNotNull())
     at = rows.select(F.col(record).alias("r"), F.col(position).alias("p"), F.col(term).alias("t"), (F.col(order) if order else F.lit(0)).alias("o"))
     suffixes = at.select("r", "p", "t").distinct().select("r", "p", F.array("t").alias("s"))
@@ -79,8 +93,14 @@ def gram_counts(occurrences: DataFrame, record: str, position: str, term: str, m
         for k in range(1, max_n):
             step = follow.select("r", (F.col("p") - k).alias("p"), F.col("next"))
             suffixes = suffixes.join(step, ["r", "p"], "left").select("r", "p", F.when(F.col("next").isNotNull() & (F.size("s") == k), F.concat("s", F.array("next"))).otherwise(F.col("s")).alias("s"))
-    routed = suffixes.select("s", F.col("r").cast("string").alias("r")).repartition(salts, F.element_at("s", 1), F.pmod(F.xxhash64("r"), F.lit(salts)))
-    parts = routed.sortWithinPartitions(F.desc("s")).mapInArrow(_stack, "gram array<string>, n bigint, records bigint")
+    hot = counted_hot(at.groupBy("t").agg(F.count(F.lit(1)).alias("c")), "t", "c", SALT_ROWS)
+    route = [F.element_at("s", 1)]
+    if hot:
+        salts = F.broadcast(spark.createDataFrame([(t, int(-(-c // SALT_ROWS))) for t, c in hot], "_term string, _salts int"))
+        suffixes = suffixes.join(salts, F.element_at("s", 1) == F.col("_term"), "left")
+        route.append(F.pmod(F.xxhash64("r"), F.coalesce("_salts", F.lit(1))))
+    routed = suffixes.select("s", "r", *[r.alias(f"_r{i}") for i, r in enumerate(route)]).repartition(tasks, *[f"_r{i}" for i in range(len(route))]).select("s", "r")
+    parts = routed.sortWithinPartitions(F.desc("s"), "r").mapInArrow(_stack(max_n), "gram array<string>, n bigint, records bigint")
     return parts.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("records").alias("records"))
 
 

@@ -35,6 +35,20 @@ def test_gram_counts_match_brute_force(spark, max_n):
     assert gram_counts(df.limit(0), "r", "p", "t").count() == 0
 
 
+@pytest.mark.parametrize("max_n", [1, 2])
+def test_gram_counts_salt_hot_terms(spark, monkeypatch, max_n):
+    monkeypatch.setattr("quadrel.llm.terms.SALT_ROWS", 10)
+    posts = [(i, p, "hot" if p % 2 else f"t{i % 3}") for i in range(30) for p in range(4)] + [(7, 9, "hot")]
+    got = {tuple(r["gram"]): (r["n"], r["records"]) for r in gram_counts(spark.createDataFrame(posts, "r long, p int, t string"), "r", "p", "t", max_n).collect()}
+    want: dict = {}
+    at = {(r, p): t for r, p, t in posts}
+    for r, p in at:
+        for n in range(1, max_n + 1):
+            if all((r, p + k) in at for k in range(n)):
+                want.setdefault(tuple(at[r, p + k] for k in range(n)), []).append(r)
+    assert got == {g: (len(x), len(set(x))) for g, x in want.items()}
+
+
 def test_terms_at_one_place_count_each_and_are_marked(spark):
     df = spark.createDataFrame([("r", 1, "a", 1), ("r", 1, "b", 2), ("r", 2, "c", 1), ("q", None, "c", 1)], "r string, p int, t string, o int")
     got = gram_counts(df, "r", "p", "t", 2, "o")
