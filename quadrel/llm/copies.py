@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrel.storage import materialize, ship
+from quadrel.storage import materialize, release, ship
 
 _SCAN = "part int, id bigint, head bigint, in_first boolean, first_key string, last_key string, last_head bigint, one_run boolean"
 
@@ -68,9 +68,11 @@ def copies(records: DataFrame, key: str, record_id: str) -> DataFrame:
     Rows with a null key or id are left out; a repeated id is given once per row; empty in, empty out.
     """
     ship(records.sparkSession)
-    rows = records.where(F.col(key).isNotNull() & F.col(record_id).isNotNull()).select(F.col(key).alias("key"), F.col(record_id).cast("bigint").alias("id"))
+    # Written first: the range partitioning reads its rows twice, once for a sample of bounds.
+    rows = materialize(records.where(F.col(key).isNotNull() & F.col(record_id).isNotNull()).select(F.col(key).alias("key"), F.col(record_id).cast("bigint").alias("id")))
     ranged = rows.repartitionByRange(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "id").sortWithinPartitions("key", "id")
     scanned = materialize(ranged.mapInArrow(_scan, _SCAN))
+    release(rows)
     order = Window.partitionBy(F.lit(0)).orderBy("part")  # one row a partition
     goes_on = F.coalesce(F.col("first_key") == F.lag("last_key").over(order), F.lit(False))
     bounds = scanned.where("id is null").withColumn("goes_on", goes_on)
