@@ -107,6 +107,16 @@ def integer_value(o: Column, o_dt: Column) -> Column:
     return F.when(o_dt.isin(_INT) & o.rlike(r"^[+-]?[0-9]+\z"), o.try_cast("decimal(38,0)"))
 
 
+def integer_key(o: Column, o_dt: Column) -> Column:
+    """A struct that orders integers of any length by value: signed number of digits, then the digits (of negative ones complemented). Null for others."""
+    digits = F.regexp_extract(o, r"^[+-]?0*([0-9]+)\z", 1)
+    minus = o.startswith("-") & (digits != "0")
+    key = F.struct(
+        F.when(digits == "0", 0).when(minus, -F.length(digits)).otherwise(F.length(digits)).alias("size"),
+        F.when(minus, F.translate(digits, "0123456789", "9876543210")).otherwise(digits).alias("digits"))
+    return F.when(o_dt.isin(_INT) & o.rlike(r"^[+-]?[0-9]+\z"), key)
+
+
 def primitive(o_dt: Column) -> Column:
     """0 not numeric, 1 integer, 2 decimal, 3 double or float."""
     return F.when(o_dt.isin(_INT), 1).when(o_dt == XSD + "decimal", 2).when(o_dt.isin(*(XSD + f for f in FLOATS)), 3).otherwise(0)
@@ -124,14 +134,14 @@ def canonical_text(o: Column, o_dt: Column) -> Column:
 
 def in_limits(o: Column, o_dt: Column) -> Column:
     """Whether an integer literal is within its type's limits; true for other types."""
-    out = F.lit(True)
-    v = o.try_cast("decimal(38,0)")
+    out, key = F.lit(True), integer_key(o, o_dt)
+    of = lambda n: integer_key(F.lit(str(n)), F.lit(XSD + "integer"))
     for name, (low, high) in INTEGER_LIMITS.items():
-        ok = v.isNotNull()
+        ok = key.isNotNull()
         if low is not None:
-            ok = ok & (v >= F.lit(Decimal(low)))
+            ok = ok & (key >= of(low))
         if high is not None:
-            ok = ok & (v <= F.lit(Decimal(high)))
+            ok = ok & (key <= of(high))
         out = F.when(o_dt == XSD + name, F.coalesce(ok, F.lit(False))).otherwise(out)
     return out
 
@@ -156,13 +166,13 @@ def typed_values(o: Column, o_dt: Column) -> dict[str, Column]:
 
 
 def order_key(o: str = "o", o_kind: str = "o_kind", o_dt: str = "o_dt", o_lang: str = "o_lang") -> list[Column]:
-    """Columns to sort terms by: literals before blank nodes before IRIs; numbers by value (double, decimal, integer where equal) before
-    texts; texts folded, then as they are; then typed before language-tagged, then by type or tag."""
+    """Columns to sort terms by: literals before blank nodes before IRIs; numbers by value (double, decimal, integer where equal; integers
+    of any length exactly) before texts; texts folded, then as they are; then typed before language-tagged, then by type or tag."""
     text, kind, dtype = F.col(o), F.col(o_kind), F.col(o_dt)
     value = F.when(kind == LITERAL, numeric_value(text, dtype))
     return [
         F.when(kind == LITERAL, 0).when(kind == BNODE, 1).otherwise(2), F.when(value.isNotNull(), 0).otherwise(1), value,
-        F.coalesce(F.when(value.isNotNull(), integer_value(text, dtype)), F.lit(0)), F.when(value.isNotNull(), -primitive(dtype)).otherwise(0), F.upper(fold(text)), text,
+        F.when(value.isNotNull(), -primitive(dtype)).otherwise(0), F.when(value.isNotNull(), integer_key(text, dtype)), F.upper(fold(text)), text,
         F.when(F.col(o_lang).isNotNull(), 1).otherwise(0), F.coalesce(dtype, F.lit("")), F.coalesce(F.col(o_lang), F.lit("")),
     ]
 
@@ -177,7 +187,9 @@ def compare(op: str, o: Column, o_dt: Column, o_lang: Column, value, type_: str
     if number:
         hit = ops[op](numeric_value(o, o_dt), F.lit(float(value)))
         if isinstance(value, int):
-            hit = F.coalesce(ops[op](integer_value(o, o_dt), F.lit(Decimal(value))), hit)
+            exact = ops[op](integer_key(o, o_dt), integer_key(F.lit(str(value)), F.lit(XSD + "integer")))
+            small = ops[op](integer_value(o, o_dt), F.lit(Decimal(value))) if abs(value) < 10**38 else F.lit(None)
+            hit = F.coalesce(small, exact, hit)
         return F.coalesce(hit & ((o_dt == type_) if type_ else F.lit(True)), F.lit(False))
     text, dtype, tag = canonical(value, type_, lang)
     same = (F.lower(o_lang) == tag) if tag else o_lang.isNull() & (F.coalesce(o_dt, F.lit(XSD + "string")) == dtype)
@@ -187,4 +199,14 @@ def compare(op: str, o: Column, o_dt: Column, o_lang: Column, value, type_: str
     return F.coalesce(same & ops[op](key, other), F.lit(False))
 
 
+def compare_terms(a: str, b: str) -> Column:
+    """-1, 0 or 1: how the term in columns ``a``, ``a_kind``, ``a_dt``, ``a_lang`` stands to that of ``b`` in the order of terms."""
+    out = F.lit(0)
+    keys = zip(order_key(*(f"{a}{x}" for x in ("", "_kind", "_dt", "_lang"))), order_key(*(f"{b}{x}" for x in ("", "_kind", "_dt", "_lang"))))
+    for x, y in reversed(list(keys)):
+        less = F.when(x.isNull(), y.isNotNull()).when(y.isNull(), F.lit(False)).otherwise(x < y)
+        out = F.when(x.eqNullSafe(y), out).when(less, -1).otherwise(1)
+    return out
+
+
 LANG_STRING = RDF + "langString"

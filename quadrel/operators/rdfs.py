@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from quadrel.functions.text import lang_matches, match_label
 from quadrel.operators.closure import closure, has, subproperties
 from quadrel.operators.lists import container_members, list_rows
 from quadrel.schema import LITERAL, RDF, RDFS, visible
+from quadrel.skew import lookup_join
+from quadrel.storage import materialize
 
 
 def subproperty_of(quads: DataFrame) -> DataFrame:
@@ -40,11 +44,18 @@ def subclass_of(quads: DataFrame) -> DataFrame:
 
 
 def individual_of(quads: DataFrame, c: str | None = None) -> DataFrame:
-    """Pairs (r, c): r has the type c or a class under it, by rdf:type or a sub-property; every subject is an rdfs:Resource."""
-    types = has(quads, p=RDF + "type").select(F.col("s").alias("r"), F.col("o").alias("sub"))
-    out = types.join(subclass_of(quads), "sub").select("r", F.col("super").alias("c"))
-    out = out.unionByName(visible(quads).select(F.col("s").alias("r"), F.lit(RDFS + "Resource").alias("c"))).distinct()
-    return out if c is None else out.where(F.col("c") == c)
+    """Pairs (r, c): r has the type c or a class under it, by rdf:type or a sub-property; every resource, subject or object, is an
+    rdfs:Resource and every literal, by its text, an rdfs:Literal. A class with many individuals is split over tasks."""
+    live = visible(quads)
+    everything = [live.select(F.col("s").alias("r"), F.lit(RDFS + "Resource").alias("c"))]
+    everything.append(live.select(F.col("o").alias("r"), F.when(F.col("o_kind") == LITERAL, RDFS + "Literal").otherwise(RDFS + "Resource").alias("c")))
+    if c in (RDFS + "Resource", RDFS + "Literal"):
+        out = [part.where(F.col("c") == c) for part in everything]
+    else:
+        types = materialize(has(quads, p=RDF + "type").select(F.col("s").alias("r"), F.col("o").alias("sub")))
+        above = subclass_of(quads) if c is None else subclass_of(quads).where(F.col("super") == c)
+        out = [lookup_join(types, above, "sub", "inner").select("r", F.col("super").alias("c")), *(everything if c is None else [])]
+    return reduce(DataFrame.unionByName, out).distinct()
 
 
 def class_property(quads: DataFrame) -> DataFrame:

@@ -19,19 +19,21 @@ def by_predicate(quads: DataFrame) -> DataFrame:
 
 
 def totals(quads: DataFrame) -> DataFrame:
-    """One row: triples (all visible rows, duplicates too), duplicates, subjects, properties, objects, literals, resources, graphs."""
-    live = visible(quads)
-    rows = live.agg(F.count(F.lit(1)).alias("triples"))
-    one = lambda df, name: df.distinct().agg(F.count(F.lit(1)).alias(name))
-    resource = live.select(F.col("s").alias("x")).unionByName(live.where(F.col("o_kind") != LITERAL).select(F.col("o").alias("x")))
-    parts = [
-        one(live.select(*TRIPLE), "unique_triples"), one(live.select("s"), "subjects"), one(live.select("p"), "properties"), one(live.select("o", "o_kind", "o_dt", "o_lang"), "objects"),
-        one(live.where(F.col("o_kind") == LITERAL).select("o", "o_dt", "o_lang"), "literals"), one(resource, "resources"), one(live.select("g"), "graphs"),
-    ]
-    keyed = rows.withColumn("_k", F.lit(1))
-    for part in parts:
-        keyed = keyed.join(F.broadcast(part.withColumn("_k", F.lit(1))), "_k")  # one row each
-    return keyed.drop("_k").withColumn("duplicates", F.col("triples") - F.col("unique_triples")).drop("unique_triples")
+    """One row: triples (all visible rows, duplicates too), duplicates, subjects, properties, objects, literals, resources, graphs.
+
+    One scan: a row gives a tagged term for each thing counted; equal ones are counted together before the one shuffle, then per tag."""
+    live, none = visible(quads), F.lit(None).cast("string")
+    term = lambda tag, *cols: F.struct(F.lit(tag).alias("tag"), *[c.cast("string").alias(n) for n, c in zip("abcdef", [*cols, *[none] * (6 - len(cols))])])
+    s, p, o, kind, dt, lang = (F.col(c) for c in TRIPLE)
+    literal = kind == LITERAL
+    each = F.explode(F.array(
+        term("unique", s, p, o, kind, dt, lang), term("subject", s), term("property", p), term("object", o, kind, dt, lang),
+        F.when(literal, term("literal", o, dt, lang)), term("resource", s), F.when(~literal, term("resource", o)), term("graph", F.col("g")))).alias("t")
+    tagged = live.select(each).where("t is not null").groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda tag: F.count(F.when(F.col("t.tag") == tag, 1))
+    rows = F.coalesce(F.sum(F.when(F.col("t.tag") == "unique", F.col("n"))), F.lit(0))
+    names = {"subjects": "subject", "properties": "property", "objects": "object", "literals": "literal", "resources": "resource", "graphs": "graph"}
+    return tagged.agg(rows.alias("triples"), *[of(tag).alias(name) for name, tag in names.items()], (rows - of("unique")).alias("duplicates"))
 
 
 def branch_factors(quads: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Joins against a table with unique keys where a few keys of the large side hold most of its rows."""
+"""Joins against a table with few rows a key where a few keys of the large side hold most of its rows."""
 
 from __future__ import annotations
 
@@ -26,10 +26,10 @@ def hot_keys(df: DataFrame, key: str, min_rows: int | None = None) -> list[tuple
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "left", min_rows: int | None = None, hot: list[tuple] | None = None, rows: int | None = None) -> DataFrame:
-    """``left`` joined with ``right``, which has one row a key (of several columns the first tells hot keys).
+    """``left`` joined with ``right``, which has one row a key or a few (of several columns the first tells hot keys).
 
-    Rows of a hot key are dealt over as many salts as the key has fair shares of the hot rows, and the key's one row in ``right`` is repeated for each salt: at
-    most two rows a shuffle partition in all, so no side is broadcast and none grows. What goes to all tasks is the list of hot keys, at most one a
+    Rows of a hot key are dealt over as many salts as the key has fair shares of the hot rows, and the key's row in ``right`` is repeated for each salt: at
+    most two rows a shuffle partition in all where keys are unique, so no side is broadcast and none grows. What goes to all tasks is the list of hot keys, at most one a
     shuffle partition. Null keys match nothing and are kept by a left join. ``how`` is ``left`` or ``inner``; column names other
     than the key must differ. Hot keys that are known already may be given as ``hot``; ``rows``, the number of rows of ``left``, spares counting
     where it is under the least number of a hot key."""

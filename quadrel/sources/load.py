@@ -30,7 +30,7 @@ def read(spark: SparkSession, path: str, format: str | None = None, base: str |
     """Statements of a file, folder or pattern; the default graph is the source."""
     kind, graph = format or format_of(path), graph or path
     if kind in ("ntriples", "nquads"):
-        return ntriples.read(spark, path, kind == "nquads", graph, anon_prefix, on_error)[0].withColumn("line", F.lit(None).cast("int"))
+        return ntriples.read(spark, path, kind == "nquads", graph, anon_prefix, on_error)[0]
     if kind in ("turtle", "trig"):
         rows = turtle.read(spark, path, base, graph, on_error)
     elif kind == "xml":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrel.operators.line_check import BODY, check_lines
@@ -49,16 +49,26 @@ def parse(lines: DataFrame, raw: str = "value", quads: bool = False, graph: str
     return c.select(*[x for x in c.columns if x not in (*cols, "_raw")], *[v.alias(k) for k, v in cols.items()])
 
 
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of text files with their numbers: path, line INT (from 1), value. A large file is read in blocks by many tasks: the lines of each block are
+    counted, and a block's first number is the sum over the blocks before it; of blocks there is one row each."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("_at"))
+    blocks = rows.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = blocks.select("path", "block", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("_shift"))
+    return rows.join(starts, ["path", "block"]).select("path", (F.col("_at") + F.col("_shift")).cast("int").alias("line"), "value")
+
+
 def read(spark: SparkSession, path: str, quads: bool | None = None, graph: str = "user", anon_prefix: str = "_:genid", on_error: str = "warning") -> tuple[DataFrame, DataFrame]:
-    """The statements of text files (gzip too) and the faulty lines (raw line and reason). ``quads`` follows the extension if not
+    """The statements of text files (gzip too) with their lines, and the faulty lines (raw line, line and reason). ``quads`` follows the extension if not
     given. With on_error ``error`` a faulty line ends the read with a ValueError."""
     if quads is None:
         quads = path.removesuffix(".gz").endswith((".nq", ".nquads"))
-    parsed = parse(spark.read.text(path).withColumn("raw_line", F.col("value")), "value", quads, graph, anon_prefix)
-    faults = parsed.where(F.size("errors") > 0).select("raw_line", F.col("errors")[0].alias("reason"))
+    parsed = parse(numbered(spark, path).withColumn("raw_line", F.col("value")), "value", quads, graph, anon_prefix)
+    faults = parsed.where(F.size("errors") > 0).select("raw_line", "line", F.col("errors")[0].alias("reason"))
     if on_error == "error" and (bad := faults.take(1)):
         raise ValueError(f"{bad[0]['reason']}: {bad[0]['raw_line']}")
-    return parsed.where("is_statement").select("s", "p", "o", "o_kind", "o_dt", "o_lang", "g"), faults
+    return parsed.where("is_statement").select("s", "p", "o", "o_kind", "o_dt", "o_lang", "g", "line"), faults
 
 
 def format_lines(rows: DataFrame, quads: bool = False) -> DataFrame:
