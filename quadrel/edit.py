@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrel.operators import statistics
@@ -103,19 +105,27 @@ class Editor:
     # Undo and redo.
 
     def _restore(self, step: dict, which: str, name: str) -> None:
-        target = visible_rows(step[which])
+        gone, come = self._difference(step, which)
         with self.store.transaction((name, step["id"])):
-            here = visible_rows(self.store.state)
-            gone, come = _minus(here, target), _minus(target, here)
-            new = self.store._new()  # noqa: SLF001
-            hit = _minus(self.store.state.quads.where("died is null"), gone, keep="left_semi").withColumn("died", F.lit(new).cast("bigint"))
-            rest = self.store.state.quads.where("died is not null").unionByName(_minus(self.store.state.quads.where("died is null"), gone))
-            self.store._set(rest.unionByName(hit))  # noqa: SLF001
+            self.store.retract_rows(gone)
             self.store.insert(come)
         for action, *args in step["calls"] if which == "before" else []:
             if action == "register_prefix":
                 self.prefixes.unregister(args[0])
 
+    def _difference(self, step: dict, which: str) -> tuple[DataFrame, DataFrame]:
+        """The rows to take away and to add to get from the step's one state to the other: those of the deltas between them, or, if the store was
+        compacted meanwhile, those in which what is there differs from the state wanted."""
+        a, b = step["before"], step["after"]
+        if a.base is b.base and b.born[: len(a.born)] == a.born and b.dead[: len(a.dead)] == a.dead and len(b.born) > len(a.born):
+            came = reduce(DataFrame.unionByName, [f.select(*ROW) for f in b.born[len(a.born):]])
+            went = [f.select(*ROW) for f in b.dead[len(a.dead):]]
+            went = reduce(DataFrame.unionByName, went) if went else came.limit(0)
+            gone, come = _minus(came, went), _minus(went, came)
+            return (gone, come) if which == "before" else (come, gone)
+        here, target = visible_rows(self.store.state), visible_rows(step[which])
+        return _minus(here, target), _minus(target, here)
+
     def undo(self) -> None:
         step = self.done.pop()
         self._restore(step, "before", "undo")

@@ -43,7 +43,7 @@ class Persistent:
             store.insert(restore(store.spark, base, journal))
         self.batch = 0
         if access == "read-write":
-            store.monitor(self._append, "all")
+            store.monitor(self._append)
 
     def _base(self) -> DataFrame | None:
         return load_db(self.store.spark, f"{self.path}/base") if os.path.isdir(f"{self.path}/base") else None

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrel.operators import closure, patterns, statistics
-from quadrel.schema import DEFAULT_GRAPH, QUADS, TRIPLE, quads_frame, visible
+from quadrel.schema import DEFAULT_GRAPH, LITERAL, QUADS, TRIPLE, quads_frame, visible
 from quadrel.storage import materialize
 
 ROW = [*TRIPLE, "g", "line"]
@@ -18,12 +20,34 @@ COLUMNS = [c.strip().split()[0] for c in QUADS.split(",")]
 LOG = "generation bigint, event string, " + ", ".join(f"{c.strip()}" for c in QUADS.split(",")[:8]) + ", field string, new_value string"
 
 
+KEY = [*ROW, "born"]
+#: So many commits' delta files are kept apart; then they are written together, without the base.
+MANY_DELTAS = 16
+NET = ("retract", "assert", "update")
+
+
 @dataclass(frozen=True)
 class State:
+    """``quads`` is what is seen, the open transaction's writes included: the base, the rows born after it, and the ends of rows that died after it."""
+
     quads: DataFrame
     generation: int = 0
     graphs: dict = field(default_factory=dict)
     predicates: dict = field(default_factory=dict)
+    base: DataFrame | None = None
+    born: tuple = ()
+    dead: tuple = ()
+
+
+def merged(base: DataFrame, born: tuple, dead: tuple) -> DataFrame:
+    """The rows of a base and its deltas. Ends of rows are small tables of (row, born, died), joined when they are read; filters on the
+    row's columns go through the join to the scan."""
+    rows = reduce(DataFrame.unionByName, born, base)
+    if not dead:
+        return rows
+    ends = reduce(DataFrame.unionByName, dead).select(*[F.col(c).alias(f"_k_{c}") for c in KEY], F.col("died").alias("_died")).distinct()
+    on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in KEY]
+    return rows.join(ends, on, "left").select(*[F.coalesce("died", "_died").alias("died") if c == "died" else F.col(c) for c in COLUMNS])
 
 
 @dataclass(frozen=True)
@@ -38,13 +62,17 @@ class Store:
     """Quads with the generations they are born and die in. Every write makes a new state from the old; a transaction's writes become visible
     together, under one generation, or not at all. Frames read before a write keep showing what they showed.
 
-    A write is an anti join or a conditional column over the quads, written to the shared folder when the outermost transaction commits."""
+    A write is an anti join or a conditional column over the quads. When the outermost transaction commits, only the rows born and the ends of the
+    rows that died are written to the shared folder; ``compact`` writes a new base. So a commit costs what it changes, and states share the rest."""
 
     def __init__(self, spark: SparkSession, quads: DataFrame | None = None) -> None:
         self.spark = spark
         rows = spark.createDataFrame([], QUADS) if quads is None else quads.select(*COLUMNS)
         top = 0 if quads is None else rows.agg(F.greatest(F.coalesce(F.max("born"), F.lit(0)), F.coalesce(F.max("died"), F.lit(0)))).collect()[0][0]
-        self.state = State(rows, top or 0)
+        self.state = State(rows, top or 0, base=rows)
+        self.deltas: dict[int, DataFrame] = {}
+        self.killed = False
+        self.lookups: Counter = Counter()
         self.stack: list[tuple[object, State]] = []
         self.updates: list[DataFrame] = []
         self.monitors: list[tuple[Callable[[DataFrame], None], set[str] | None]] = []
@@ -65,10 +93,19 @@ class Store:
     def inverses(self) -> dict[str, str]:
         return {p: d["inverse_of"] for p, d in self.state.predicates.items() if d.get("inverse_of")}
 
+    def _looked(self, **bound) -> None:
+        self.lookups["".join(k for k, v in bound.items() if v is not None) or "-"] += 1
+
+    def lookup_counts(self) -> DataFrame:
+        """How many patterns were asked for by the places that were bound: index (as ``sp``; ``-`` for none), n."""
+        return self.spark.createDataFrame(sorted(self.lookups.items()), "index string, n int")
+
     def triples(self, s=None, p=None, o=None, **more) -> DataFrame:
+        self._looked(s=s, p=p, o=o)
         return patterns.triples(self.quads, s, p, o, **more)
 
     def statements(self, s=None, p=None, o=None, g=None, **more) -> DataFrame:
+        self._looked(s=s, p=p, o=o, g=g)
         return patterns.statements(self.quads, s, p, o, g, **more)
 
     def has(self, s=None, p=None, o=None, real: bool = False) -> DataFrame:
@@ -95,7 +132,10 @@ class Store:
     def insert(self, rows) -> None:
         """Adds statements (a frame or a list as for ``quads_frame``); one that is there, graph and line included, changes nothing."""
         with self.transaction():
-            fresh, live = self._frame(rows).alias("n"), self.quads.select(*ROW).alias("h")
+            fresh, live = self._frame(rows), self.quads.select(*ROW)
+            if isinstance(rows, list):  # few: of the store only the same subjects' statements are joined
+                live = live.join(F.broadcast(fresh.select("s").distinct()), "s", "left_semi").select(*ROW)
+            fresh, live = fresh.alias("n"), live.alias("h")
             same = [F.col(f"n.{c}").eqNullSafe(F.col(f"h.{c}")) for c in ROW]
             added = fresh.join(live, same, "left_anti").withColumn("born", F.lit(self._new()).cast("bigint")).withColumn("died", F.lit(None).cast("bigint"))
             self._set(self.state.quads.unionByName(added.select(*COLUMNS)))
@@ -110,13 +150,24 @@ class Store:
     def retract(self, s=None, p=None, o=None, g=None) -> None:
         """Takes away all statements that match; a ``Match`` as object takes away what it finds."""
         with self.transaction():
+            self.killed = True
             self._set(self.state.quads.withColumn("died", F.when(self._hit(s, p, o, g), F.lit(self._new())).otherwise(F.col("died"))))
 
+    def retract_rows(self, rows: DataFrame) -> None:
+        """Takes away the statements given, graph and line included."""
+        with self.transaction():
+            self.killed = True
+            ends = rows.select(*[F.col(c).alias(f"_k_{c}") for c in ROW]).distinct().withColumn("_hit", F.lit(True))
+            marked = self.state.quads.join(ends, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in ROW], "left")
+            died = F.when(F.col("died").isNull() & F.col("_hit"), F.lit(self._new())).otherwise(F.col("died"))
+            self._set(marked.select(*[died.alias("died") if c == "died" else F.col(c) for c in COLUMNS]))
+
     def update(self, place: str, value: str, s=None, p=None, o=None, g=None, **qualifiers) -> None:
         """Replaces one place (subject, predicate, object, graph) of all statements that match; an object may come with o_kind, o_dt and
         o_lang. The same value is no change."""
         column = {"subject": "s", "predicate": "p", "object": "o", "graph": "g"}[place]
         with self.transaction():
+            self.killed = True
             same = F.col(column) == value
             for k, v in qualifiers.items():
                 same = same & F.col(k).eqNullSafe(F.lit(v))
@@ -135,6 +186,7 @@ class Store:
         discarded at the end. An error discards the writes and goes on to the caller."""
         before, noted = self.state, len(self.updates)
         owner = object()
+        self._notify("transaction_begin", str(name), len(self.stack))
         if snapshot is True:
             snapshot = Snapshot(before)
         if isinstance(snapshot, Snapshot) and snapshot.owner is not None and snapshot.owner not in [o for o, _, *_ in self._owners()]:
@@ -155,6 +207,9 @@ class Store:
                 del self.updates[noted:]
             elif not self.stack:
                 self._commit(before)
+            if not self.stack:
+                self.killed = False
+            self._notify("transaction_end", str(name), len(self.stack))
 
     _owner_list: list = []
 
@@ -166,19 +221,60 @@ class Store:
             self.updates.clear()
             return
         generation = before.generation + 1
+        changed = F.col("born") == generation
+        if self.killed:
+            changed = changed | (F.col("died") == generation)
         # Rows born and gone within the transaction were never visible.
-        kept = self.state.quads.where(F.col("died").isNull() | (F.col("born") < F.col("died")))
-        self.state = replace(self.state, quads=materialize(kept), generation=generation)
+        delta = materialize(self.state.quads.where(changed & (F.col("died").isNull() | (F.col("born") < F.col("died")))))
+        born, dead = (*before.born, delta.where(F.col("born") == generation)), before.dead
+        if self.killed:
+            dead = (*dead, delta.where(F.col("born") < generation).select(*KEY, "died"))
+        if len(born) > MANY_DELTAS:
+            born = (materialize(reduce(DataFrame.unionByName, born)),)
+            dead = (materialize(reduce(DataFrame.unionByName, dead)),) if dead else ()
+        self.deltas[generation] = delta
+        self.state = replace(self.state, quads=merged(before.base, born, dead), generation=generation, base=before.base, born=born, dead=dead)
         if self.monitors:
             events = self.changes(generation)
             for call, mask in self.monitors:
-                call(events if mask is None else events.where(F.col("event").isin(sorted(mask))))
+                wanted = sorted(mask & set(NET))
+                parts = [events.where(F.col("event").isin(wanted))] if wanted else []
+                parts += [self._literals(generation, kind) for kind in ("new_literal", "old_literal") if kind in mask]
+                if parts:
+                    call(reduce(DataFrame.unionByName, parts))
         self.updates.clear()
 
+    def _literals(self, generation: int, event: str) -> DataFrame:
+        """Literals that come with a generation, or that no statement holds any more after it: their places for subject, predicate and graph are null."""
+        term = ["o", "o_kind", "o_dt", "o_lang"]
+        changed = self.deltas[generation].where(F.col("o_kind") == LITERAL)
+        if event == "new_literal":
+            there = visible(self.state.quads, generation - 1)
+            found = changed.where((F.col("born") == generation) & F.col("died").isNull()).select(*term).distinct()
+        else:
+            there = visible(self.state.quads, generation)
+            found = changed.where(F.col("died") == generation).select(*term).distinct()
+        held = there.where(F.col("o_kind") == LITERAL).select(*[F.col(c).alias(f"_h_{c}") for c in term])
+        found = found.join(held, [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in term], "left_anti")
+        return self._events(found, generation, event)
+
+    @staticmethod
+    def _events(rows: DataFrame, generation: int, event: str) -> DataFrame:
+        kinds = {"o_kind": "tinyint", "line": "int"}
+        place = [F.col(c) if c in rows.columns else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in ROW]
+        none = F.lit(None).cast("string")
+        return rows.select(F.lit(generation).cast("bigint").alias("generation"), F.lit(event).alias("event"), *place, none.alias("field"), none.alias("new_value"), F.lit(3).alias("step"))
+
+    def _notify(self, event: str, name: str, depth: int = 0) -> None:
+        """Tells monitors that ask for it by name of something that changes no statement: its name as subject, the depth of nesting as line."""
+        for call, mask in self.monitors:
+            if event in mask:
+                call(self._events(self.spark.createDataFrame([(name, depth)], "s string, line int"), self.state.generation, event))
+
     def changes(self, generation: int) -> DataFrame:
         """The net changes of a generation, in the order retract, assert, update (column ``step``): what came and went within it doesn't show.
         Of an update the old statement is given with the field and its new value."""
-        now = self.state.quads
+        now = self.deltas.get(generation, self.state.quads)
         gone, come = now.where(F.col("died") == generation).select(*ROW), now.where((F.col("born") == generation) & F.col("died").isNull()).select(*ROW)
         none = F.lit(None).cast("string")
         plain = lambda rows, event, step: rows.select(F.lit(generation).cast("bigint").alias("generation"), F.lit(event).alias("event"), *ROW, none.alias("field"), none.alias("new_value"), F.lit(step).alias("step"))
@@ -194,9 +290,10 @@ class Store:
         return rows if out is None else rows.unionByName(out)
 
     def monitor(self, call: Callable[[DataFrame], None], *mask: str) -> None:
-        """``call`` gets the net changes of every outermost commit. ``mask``: names of events (assert, retract, update), each may have + or -;
-        ``all`` for all."""
-        wanted = {"assert", "retract", "update"} if not mask or any(m.lstrip("+") == "all" or m.startswith("-") for m in mask) else set()
+        """``call`` gets the net changes of every outermost commit, and what else it asks for. ``mask``: names of events, each may have + or -; ``all``, or
+        no mask, stands for the net changes (assert, retract, update). By name only: new_literal and old_literal (literals that come into use or fall
+        out of it, which needs a look at the whole store), transaction_begin, transaction_end, load_begin, load_end, create_graph, reset."""
+        wanted = set(NET) if not mask or any(m.lstrip("+") == "all" or m.startswith("-") for m in mask) else set()
         for m in mask:
             if m.startswith("-"):
                 wanted.discard(m[1:])
@@ -219,6 +316,8 @@ class Store:
     # Graphs and predicates.
 
     def create_graph(self, g: str) -> None:
+        if g not in self.state.graphs:
+            self._notify("create_graph", g)
         self.state = replace(self.state, graphs={g: {}, **self.state.graphs})
 
     def set_graph(self, g: str, **properties) -> None:
@@ -236,12 +335,14 @@ class Store:
     def load(self, rows, g: str, source: str | None = None, modified: str | None = None, multifile: bool = False) -> None:
         """Puts the statements of a source into graph ``g``, in place of what was there unless ``multifile``."""
         frame = self._frame(rows)
+        self._notify("load_begin", g)
         with self.transaction(("load", g)):
             if not multifile:
                 self.retract(g=g)
             self.insert(frame.withColumn("g", F.lit(g)))
         digest = self.graph_md5(g)
         self.set_graph(g, source=source, source_last_modified=modified, loaded_md5=digest)
+        self._notify("load_end", g)
 
     def graph_md5(self, g: str) -> str:
         row = statistics.graph_md5(self.quads.where(F.col("g") == g)).collect()
@@ -292,12 +393,17 @@ class Store:
     def reset(self) -> None:
         if self.stack:
             raise ValueError("not within a transaction")
-        self.state = State(self.spark.createDataFrame([], QUADS), self.state.generation + 1)
+        empty = self.spark.createDataFrame([], QUADS)
+        self.state = State(empty, self.state.generation + 1, base=empty)
+        self.deltas.clear()
+        self._notify("reset", "")
 
     def compact(self) -> None:
-        """Drops rows that no snapshot can see."""
+        """Writes a new base of the rows that some snapshot can see, and drops the deltas."""
         oldest = min([s.state.generation for s in self.snapshots], default=self.state.generation)
-        self._set(materialize(self.state.quads.where(F.col("died").isNull() | (F.col("died") > oldest))))
+        base = materialize(self.state.quads.where(F.col("died").isNull() | (F.col("died") > oldest)))
+        self.state = replace(self.state, quads=base, base=base, born=(), dead=())
+        self.deltas.clear()
 
     def partition_by_predicate(self, path: str, buckets: int = 64) -> None:
         """Writes the quads sorted by (p, s) within hash buckets of both, so that filters on them skip files and row groups, and a hot

@@ -275,6 +275,47 @@ def test_store_monitor_sees_net_changes_in_order(spark):
     assert seen == [[("retract", "a", "b", None), ("assert", "n", "m", None), ("update", "c", "d", "dd")]]
 
 
+def test_a_commit_writes_only_what_it_changes(spark, tmp_path):
+    from quadrel.storage import materialize
+    from quadrel.store import COLUMNS
+
+    q = quads_frame(spark, [(f"s{i}", "p", (str(i % 7), {}), "g") for i in range(500)])
+    s = Store(spark, materialize(q))
+    s.insert([("s1", "p", "new"), ("s2", "p", ("2", {}), "g")])
+    s.retract(s="s3")
+    s.update("object", "x", s="s4")
+    assert [s.deltas[g].count() for g in sorted(s.deltas)] == [1, 1, 2]
+    assert s.quads.count() == 500 and s.statements(s="s3").count() == 0 and col(s.statements(s="s4"), "o") == ["x"]
+    assert s.triples(s="s3", generation=s.generation).count() == 0
+    assert patterns.triples(s.state.quads, s="s3", generation=s.generation - 2).count() == 1
+    whole = sorted(map(tuple, s.quads.select(*COLUMNS).collect()), key=repr)
+    s.compact()
+    assert sorted(map(tuple, s.quads.select(*COLUMNS).collect()), key=repr) == whole and not s.state.born
+    for i in range(20):
+        s.insert([("many", "p", f"o{i}")])
+        s.retract(s="many", o=f"o{i - 1}")
+    assert col(s.statements(s="many"), "o") == ["o19"] and len(s.state.born) <= 17
+
+
+def test_store_monitor_of_literals_and_loads(spark):
+    s, seen = Store(spark), []
+    s.insert([("a", "p", ("old", {})), ("b", "p", ("kept", {})), ("c", "p", ("kept", {}))])
+    s.monitor(lambda e: seen.extend((r["event"], r["s"], r["o"]) for r in e.orderBy("event", "o").collect()), "new_literal", "old_literal", "transaction_begin", "transaction_end", "load_begin", "load_end", "create_graph", "reset")
+    with s.transaction("t"):
+        s.retract(s="a")
+        s.retract(s="b")
+        s.insert([("d", "q", ("kept", {})), ("d", "q", ("fresh", {}))])
+    assert ("new_literal", None, "fresh") in seen and ("old_literal", None, "old") in seen and all(o != "kept" for _, _, o in seen)
+    assert seen[0] == ("transaction_begin", "t", None) and seen[-1] == ("transaction_end", "t", None)
+    seen.clear()
+    s.create_graph("g")
+    s.load([("s", "p", "o")], "g")
+    s.reset()
+    assert [e for e, *_ in seen if "transaction" not in e] == ["create_graph", "load_begin", "load_end", "reset"]
+    s.triples(s="a", p="p"), s.triples(), s.triples(p="q")
+    assert {("sp", 1), ("-", 1), ("p", 1)} <= {tuple(r) for r in s.lookup_counts().collect()}
+
+
 def test_store_graphs_and_predicates(spark):
     s = Store(spark)
     s.load([("s", "p", "o")], "g", "file:x", "1")
