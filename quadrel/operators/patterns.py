@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -37,8 +38,9 @@ class Match:
     lang: str | None = None
 
 
-def object_is(o: str | Literal | Match, alias: str = "") -> Column:
-    """The test of a pattern's object. Where a column ``o_fold`` is there it is not used: callers with a stored fold filter on it."""
+def object_is(o: str | Literal | Match, alias: str = "", kept: bool = False) -> Column:
+    """The test of a pattern's object. ``kept``: the quads keep ``o_fold``, the folded text of literals, and ``o_num``, the number of
+    numeric ones (``with_keys``); texts are then compared by the one, and numbers bounded by the other before they are compared exactly, so that both tests reach the scan."""
     c = lambda n: F.col(alias + n)
     if isinstance(o, str):
         return (c("o") == o) & (c("o_kind") != LITERAL)
@@ -57,11 +59,27 @@ def object_is(o: str | Literal | Match, alias: str = "") -> Column:
         return literal & lang_matches(c("o_lang"), o.value)
     if o.how == "type":
         return literal & (F.coalesce(c("o_dt"), F.when(c("o_lang").isNull(), XSD + "string")) == o.value)
+    if kept and o.how in (*_LIMITS, "between") and isinstance(o.value, (int, float)) and not isinstance(o.value, bool):
+        literal = literal & _bounds(o, c("o_num"))
     if o.how in _LIMITS:
         return literal & lit.compare(_SIGN[o.how], c("o"), c("o_dt"), c("o_lang"), o.value, o.type, o.lang)
     if o.how == "between":
         return literal & lit.compare(">=", c("o"), c("o_dt"), c("o_lang"), o.value, o.type, o.lang) & lit.compare("<=", c("o"), c("o_dt"), c("o_lang"), o.upper, o.type, o.lang)
-    return literal & match_folded(o.how, o.value, fold(c("o")))
+    return literal & match_folded(o.how, o.value, c("o_fold") if kept else fold(c("o")))
+
+
+def _bounds(o: Match, number: Column) -> Column:
+    """What the double of a number that matches is within; wide by one step, as integers beyond 53 bits are rounded."""
+    low = math.nextafter(float(o.value), -math.inf) if o.how in ("eq", "ge", "gt", "between") else None
+    high = math.nextafter(float(o.upper if o.how == "between" else o.value), math.inf) if o.how in ("eq", "le", "lt", "between") else None
+    test = F.lit(True) if low is None else number >= low
+    return test if high is None else test & (number <= high)
+
+
+def with_keys(quads: DataFrame) -> DataFrame:
+    """The quads with ``o_fold`` and ``o_num``, to be written and searched."""
+    literal = F.col("o_kind") == LITERAL
+    return quads.withColumn("o_fold", F.when(literal, fold(F.col("o")))).withColumn("o_num", F.when(literal, lit.numeric_value(F.col("o"), F.col("o_dt"))))
 
 
 def _pattern(quads: DataFrame, s, p, o, same: str | None) -> DataFrame:
@@ -73,7 +91,7 @@ def _pattern(quads: DataFrame, s, p, o, same: str | None) -> DataFrame:
     if p is not None:
         out = out.where(F.col("p") == p)
     if o is not None:
-        out = out.where(object_is(o))
+        out = out.where(object_is(o, kept={"o_fold", "o_num"} <= set(quads.columns)))
     for pair in (same or "").split():
         a, b = pair
         out = out.where(F.col(a) == F.col(b))

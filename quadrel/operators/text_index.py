@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from quadrel.functions.stem import sounds, sounds_column, stem, stem_column
 from quadrel.functions.text import fold, fold_text
 from quadrel.schema import LITERAL, visible
+from quadrel.storage import materialize, release
 
 # Words that are never indexed, and the limits of integers that are.
 STOP_WORDS = ["and", "an", "or", "of", "on", "in", "this", "the"]
@@ -25,10 +28,56 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda t: F.coalesce(keep(t), F.lit(False))))
 
 
-def postings(quads: DataFrame) -> DataFrame:
-    """token, literal of the distinct literal texts of the visible statements; language and type don't count."""
-    texts = visible(quads).where(F.col("o_kind") == LITERAL).select(F.col("o").alias("literal")).distinct()
-    return texts.select(F.explode(tokens(F.col("literal"))).alias("token"), "literal")
+def postings(quads: DataFrame, tokenize: Callable[[Column], Column] = tokens, exclude: Callable[[DataFrame], Column] | None = None) -> DataFrame:
+    """token, literal of the distinct literal texts of the visible statements; language and type don't count. Hooks: ``tokenize`` gives of a text
+    the array of its tokens, ``exclude`` of the statements a test that leaves them out of the index."""
+    rows = visible(quads).where(F.col("o_kind") == LITERAL)
+    if exclude is not None:
+        rows = rows.where(~F.coalesce(exclude(rows), F.lit(False)))
+    texts = rows.select(F.col("o").alias("literal")).distinct()
+    return texts.select(F.explode(tokenize(F.col("literal"))).alias("token"), "literal")
+
+
+def _number(token: Column) -> Column:
+    return F.when(token.rlike(r"^-?[0-9]+\z"), token.try_cast("bigint"))
+
+
+class LiteralIndex:
+    """A kept index: postings written once, sorted by folded token, so that a search for a token, a prefix or a number reads only the files and row
+    groups that can hold it. New literals are added as further files. Columns token, literal, ``f`` (the folded token), ``n`` (its number)."""
+
+    def __init__(self, quads: DataFrame, tokenize: Callable[[Column], Column] = tokens, exclude: Callable[[DataFrame], Column] | None = None) -> None:
+        self.hooks = (tokenize, exclude)
+        self.parts = [self._written(postings(quads, *self.hooks))]
+
+    @staticmethod
+    def _written(rows: DataFrame) -> DataFrame:
+        # Written by ranges of (token, literal), so a token of many literals is spread over files.
+        return materialize(rows.withColumn("f", fold(F.col("token"))).withColumn("n", _number(F.col("token"))).repartitionByRange("f", "literal").sortWithinPartitions("f", "literal"))
+
+    @property
+    def frame(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+    def add(self, quads: DataFrame) -> LiteralIndex:
+        """Also the literals of these statements that aren't indexed yet."""
+        fresh = postings(quads, *self.hooks)
+        self.parts.append(self._written(fresh.join(self.frame.select("literal").distinct(), "literal", "left_anti").select("token", "literal")))
+        return self
+
+    def remove(self, literals: DataFrame) -> LiteralIndex:
+        """Without these literals (column literal); the index is written anew."""
+        rest = self._written(self.frame.select("token", "literal").join(literals.select("literal").distinct(), "literal", "left_anti"))
+        release(*self.parts)
+        self.parts = [rest]
+        return self
+
+    def find(self, query: Q | str, stopgaps: frozenset[str] = frozenset()) -> DataFrame:
+        return find_literals(self.frame, query, stopgaps)
+
+    def statistics(self) -> DataFrame:
+        """One row: tokens, literals, postings."""
+        return self.frame.agg(F.countDistinct("token").alias("tokens"), F.countDistinct("literal").alias("literals"), F.count(F.lit(1)).alias("postings"))
 
 
 def stopgap_tokens(index: DataFrame, threshold: int = 50_000) -> DataFrame:
@@ -64,14 +113,16 @@ def normal_form(q: Q, negated: bool = False) -> list[list[tuple[Q, bool]]]:
     return [[(q, negated)]]
 
 
-def _key_test(q: Q, token: Column) -> Column:
-    number = F.when(token.rlike(r"^-?[0-9]+\z"), token.try_cast("bigint"))
+def _key_test(q: Q, token: Column, folded: Column | None = None, number: Column | None = None) -> Column:
+    """The test of a key; on an index that keeps folded tokens and numbers it is a test of those columns, pushed to the scan."""
+    folded = fold(token) if folded is None else folded
+    number = _number(token) if number is None else number
     if q.op == "token":
-        return fold(token) == fold_text(str(q.args[0]))
+        return folded == fold_text(str(q.args[0]))
     if q.op == "case":
-        return token == q.args[0]
+        return (token == q.args[0]) & (folded == fold_text(str(q.args[0])))
     if q.op == "prefix":
-        return fold(token).startswith(fold_text(q.args[0]))
+        return folded.startswith(fold_text(q.args[0]))
     if q.op == "ge":
         return number >= q.args[0]
     if q.op == "le":
@@ -81,21 +132,26 @@ def _key_test(q: Q, token: Column) -> Column:
     raise ValueError(f"unknown search {q.op!r}")
 
 
+def _hits(index: DataFrame, q: Q) -> DataFrame:
+    kept = "f" in index.columns and "n" in index.columns
+    return index.where(_key_test(q, F.col("token"), *((F.col("f"), F.col("n")) if kept else ())))
+
+
 def expansions(index: DataFrame, q: Q) -> DataFrame:
     """The distinct tokens that a key stands for."""
+    if q.op not in ("stem", "sounds"):
+        return _hits(index, q).select("token").distinct()
     words = index.select("token").distinct()
     if q.op == "stem":
         return words.where(stem_column(F.col("token")) == stem(q.args[0]))
-    if q.op == "sounds":
-        codes = [c for c in set(sounds(q.args[0])) if c]
-        return words.where(F.arrays_overlap(sounds_column(F.col("token")), F.array(*[F.lit(c) for c in codes])))
-    return words.where(_key_test(q, F.col("token")))
+    codes = [c for c in set(sounds(q.args[0])) if c]
+    return words.where(F.arrays_overlap(sounds_column(F.col("token")), F.array(*[F.lit(c) for c in codes])))
 
 
 def _matching(index: DataFrame, q: Q) -> DataFrame:
     if q.op in ("stem", "sounds"):
         return index.join(expansions(index, q), "token", "left_semi").select("literal").distinct()
-    return index.where(_key_test(q, F.col("token"))).select("literal").distinct()
+    return _hits(index, q).select("literal").distinct()
 
 
 def find_literals(index: DataFrame, query: Q | str, stopgaps: frozenset[str] = frozenset()) -> DataFrame:

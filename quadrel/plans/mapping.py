@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrel.operators.lists import assert_containers, assert_lists
+from quadrel.operators.patterns import with_keys
+from quadrel.operators.text_index import LiteralIndex
 from quadrel.schema import QUADS, RDF, RDFS, XSD, quads_frame
+from quadrel.storage import materialize
 
 EX, VOC = "http://example.org/", "http://voc.example/ns#"
 COLUMNS = [c.strip().split()[0] for c in QUADS.split(",")]
@@ -85,3 +88,25 @@ def region_bags(spark: SparkSession, sf_dir: str, kind: str = "Bag") -> DataFram
     """A container per region of its nations, by key."""
     rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_nationkey")).alias("k"))
     return assert_containers(rows.select(_iri("region", "n_regionkey").alias("c"), F.transform("k", lambda x: F.concat(F.lit(EX + "nation/"), x.cast("string"))).alias("m")), "c", "m", kind, EX + "bags")
+
+
+_kept: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, what: str, build):
+    """What ``build`` gives, made once an application: as a store does that keeps its statements and its index."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _kept:
+        _kept[key] = build()
+    return _kept[key]
+
+
+def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``stored`` as a store keeps it: written once with the keys that literals are searched by, in ranges of (p, s) that spread a hot predicate, so that
+    filters skip files and row groups."""
+    return _once(spark, sf_dir, "quads", lambda: materialize(with_keys(stored(spark, sf_dir)).repartitionByRange("p", "s").sortWithinPartitions("p", "s")))
+
+
+def kept_index(spark: SparkSession, sf_dir: str) -> LiteralIndex:
+    """The index of the stored literals' tokens, built once."""
+    return _once(spark, sf_dir, "index", lambda: LiteralIndex(stored(spark, sf_dir)))

@@ -17,7 +17,7 @@ from quadrel.operators import closure, compare, lists, patterns, rdfs, statistic
 from quadrel.operators.patterns import Literal, Match
 from quadrel.operators.ranking import ranked
 from quadrel.operators.text_index import Q
-from quadrel.plans.mapping import EX, INVERSES, VOC, line_lists, region_bags, star, stored, table, with_schema
+from quadrel.plans.mapping import EX, INVERSES, VOC, kept, kept_index, line_lists, region_bags, star, stored, table, with_schema
 from quadrel.schema import LITERAL, RDF, RDFS, TRIPLE, XSD, visible
 from quadrel.sources import library, ntriples, persist, rdfa, rdfxml, results, turtle, turtle_write
 from quadrel.storage import materialize, shared_dir
@@ -50,10 +50,10 @@ for _name, _args in {
     "lit_lt": {"o": Match("lt", 3)}, "lit_le": {"o": Match("le", 3)}, "lit_eq": {"o": Match("eq", 7)}, "lit_ge": {"o": Match("ge", 100)}, "lit_gt": {"o": Match("gt", 100.5)}, "lit_between": {"o": Match("between", 5, 6.5)},
     "lit_text_ge": {"o": Match("ge", "zu", lang="nl")}, "lang_matches_basic": {"o": Match("lang", "en")}, "lang_matches_wild": {"o": Match("lang", "*-gb")}, "lit_typed": {"p": VOC + "lat", "o": Match("type", XSD + "double")},
 }.items():
-    _define(_name, f"Distinct triples of the pattern {_args}.", lambda spark, d, a=_args: patterns.triples(stored(spark, d), **a))
+    _define(_name, f"Distinct triples of the pattern {_args}.", lambda spark, d, a=_args: patterns.triples(kept(spark, d), **a))
 
 for _name, _args in {"rdf4_nodedup": {"p": VOC + "broader"}, "rdf_g": {"g": "http://data.example/graph/catalog"}, "rdf_pg": {"p": LABEL, "g": "http://data.example/graph/registry"}}.items():
-    _define(_name, f"Statements of the pattern {_args}.", lambda spark, d, a=_args: patterns.statements(stored(spark, d), **a))
+    _define(_name, f"Statements of the pattern {_args}.", lambda spark, d, a=_args: patterns.statements(kept(spark, d), **a))
 
 
 @query
@@ -342,7 +342,7 @@ def alt_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_index.postings(stored(spark, sf_dir))
+    return kept_index(spark, sf_dir).frame
 
 
 for _name, _q in {
