@@ -61,7 +61,53 @@ def _wide_column(name: str, kind: str) -> str:
     return f"max(CASE WHEN predicate = '{VOC}{name}' THEN try_cast({t} AS {_T[kind]}) END) AS \"{name}\""
 
 
+#: Lines judged by whole-line expressions. A line is well quoted if it is a sequence of well-formed literals, IRIs and runs without quotes; it has its columns
+#: if it is a sequence of the right number of terms of any content, and a dot.
+_ESC = r"""(?:\\[tbnrf"''\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})"""
+_LIT = rf"""(?:"(?:[^"\\]|{_ESC})*"(?:@[^ \t"<>]*|\^\^<[^"> ]*>)?)"""
+_ANY_IRI = r"""(?:<[^>]*(?:>[^ \t.>][^>]*)*>)"""
+_NODE = r"""(?:_:[^ \t<>"]*[^ \t<>".])"""
+_TAIL = r"[ \t]*\.[ \t\r]*(?:#.*)?"
+_TERM = rf"(?:{_LIT}|{_ANY_IRI}|{_NODE})"
+
+
+def _sql(rx: str) -> str:
+    return "'(?s)" + rx + "'"
+
+
+_QUOTED = _sql(rf"""[ \t]*(?:{_LIT}(?:[ \t]+|[ \t]*\.[ \t]*|$)|(?:{_ANY_IRI}|[^ \t"<.][^ \t"]*|\.)[ \t]*)*(?:#.*)?""")
+_THREE = _sql(rf"[ \t]*{_TERM}(?:[ \t]+{_TERM}){{2}}{_TAIL}")
+_FOUR = _sql(rf"[ \t]*{_TERM}(?:[ \t]+{_TERM}){{3}}{_TAIL}")
+_CUT = _sql(rf"^[ \t]*({_TERM})[ \t]+({_TERM})[ \t]+({_TERM})(?:[ \t]+({_TERM}))?{_TAIL}$")
+_BAD_IRI = r"'[\x00-\x20\x7f-\x9f<>\"{}|^`\\\\]'"
+
+
+def _bad_iri(t: str) -> str:
+    return f"(starts_with({t}, '<') AND regexp_matches(substr({t}, 2, length({t}) - 2), {_BAD_IRI}))"
+
+
+_BODY_OF = "regexp_extract(o, " + _sql(r"""^"(.*)"(@[^"]*|\^\^<[^"]*>)?$""") + ", 1)"
+_TYPE_OF = "regexp_extract(o, " + _sql(r"""\^\^<([^"]*)>$""") + ", 1)"
+_LANG_OF = "regexp_extract(o, " + _sql(r""""@([^"]*)$""") + ", 1)"
+_TAGGED = "regexp_matches(o, " + _sql(r""""@[^"]*$""") + ")"
+_X = "http://www.w3.org/2001/XMLSchema#"
+_LINES = f"""st AS (SELECT load_id, lower(trim(nt_format)) = 'nquads' AS quads, coalesce(lower(trim(on_error)) = 'error', false) AS strict, graph AS load_graph, error_count FROM nt_state),
+r AS (SELECT l.load_id, line_no, regexp_replace(raw_line, '[\\r\\n]+$', '') AS raw, coalesce(quads, false) AS quads, coalesce(strict, false) AS strict, load_graph FROM nt_lines l LEFT JOIN st USING (load_id)
+  WHERE raw_line IS NOT NULL AND NOT regexp_matches(raw_line, '^[ \\t\\r\\n]*(#|$)')),
+c AS (SELECT *, regexp_full_match(raw, {_QUOTED}) AS quoted, regexp_full_match(raw, {_THREE}) OR (quads AND regexp_full_match(raw, {_FOUR})) AS whole FROM r),
+d AS (SELECT *, regexp_extract(raw, {_CUT}, 1) AS s, regexp_extract(raw, {_CUT}, 2) AS p, regexp_extract(raw, {_CUT}, 3) AS o, regexp_extract(raw, {_CUT}, 4) AS g FROM c),
+v AS (SELECT *, CASE WHEN starts_with(o, '"') THEN {_BODY_OF} END AS body, CASE WHEN starts_with(o, '"') THEN {_TYPE_OF} END AS dt FROM d),
+f AS (SELECT *, CASE WHEN NOT quoted THEN 'quoting' WHEN NOT whole THEN 'columns' WHEN {_bad_iri('s')} OR {_bad_iri('p')} OR {_bad_iri('o')} OR {_bad_iri('g')} OR starts_with(s, '"') OR NOT starts_with(p, '<') OR starts_with(g, '"')
+    OR (starts_with(o, '"') AND ({_TAGGED} AND NOT regexp_full_match({_LANG_OF}, '[A-Za-z]{{1,8}}(-[A-Za-z0-9]{{1,8}})*') OR regexp_matches(dt, {_BAD_IRI})
+      OR CASE dt WHEN '{_X}integer' THEN NOT regexp_full_match(body, '[+-]?[0-9]+') WHEN '{_X}double' THEN NOT regexp_full_match(body, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?')
+        WHEN '{_X}date' THEN NOT regexp_full_match(body, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') OR try_cast(body AS DATE) IS NULL WHEN '{_X}boolean' THEN body NOT IN ('true', 'false', '1', '0') ELSE false END)) THEN 'value' END AS reason FROM v),
+stops AS (SELECT load_id, min(line_no) AS stop FROM f WHERE strict AND reason IS NOT NULL GROUP BY load_id),
+got AS (SELECT f.* FROM f LEFT JOIN stops USING (load_id) WHERE stop IS NULL OR line_no <= stop)"""
+
 ORACLES = {
+    "p7_found": f"WITH {_LINES} SELECT load_id, line_no, reason FROM got WHERE reason IS NOT NULL",
+    "p7_statements": f"WITH {_LINES} SELECT load_id, line_no, s, p, o, coalesce(nullif(g, ''), load_graph) AS g FROM got WHERE reason IS NULL",
+    "p7_error_counts": f"WITH {_LINES} SELECT st.load_id, error_count AS recorded, count(reason) AS n_errors, count(got.load_id) - count(reason) AS n_statements FROM st LEFT JOIN got ON got.load_id = st.load_id GROUP BY 1, 2",
     "p2_found": " UNION ALL ".join(f"SELECT '{f}' AS field_name, {f} AS key_value FROM rdf GROUP BY {f} HAVING {f} IS NOT NULL AND count(*) >= 0.05 * (SELECT count(*) FROM rdf)" for f in ("predicate", "graph")),
     "p2_statistics": " UNION ALL ".join(f"SELECT '{f}' AS field_name, {f} AS key_value, count(*) AS n_rows, count(DISTINCT subject) AS n_subjects, count(DISTINCT object) AS n_objects FROM rdf GROUP BY {f}" for f in ("predicate", "graph")),
     "p3_found": f"""WITH RECURSIVE {_LINKS},

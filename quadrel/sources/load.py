@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrel.schema import TRIPLE
 from quadrel.sources import ntriples, persist, rdfa, rdfxml, turtle
+from quadrel.storage import exists, modified
 from quadrel.store import Store
 
 # File extensions and content types of the formats.
@@ -46,7 +46,7 @@ def read(spark: SparkSession, path: str, format: str | None = None, base: str |
 
 
 def stamp(path: str) -> str | None:
-    return str(os.path.getmtime(path)) if os.path.exists(path) else None
+    return modified(SparkSession.active(), path)
 
 
 def load(store: Store, paths: str | list[str], graph: str | None = None, if_: str = "changed", multifile: bool = False, cache: str | None = None, **options) -> list[str]:
@@ -64,8 +64,8 @@ def load(store: Store, paths: str | list[str], graph: str | None = None, if_: st
         rows = read(store.spark, path, graph=g, **options)
         if cache:
             kept = cache_file(cache, path)
-            if not os.path.isdir(kept):
-                rows.write.parquet(kept)
+            if not exists(store.spark, f"{kept}/_SUCCESS"):
+                rows.write.mode("overwrite").parquet(kept)
             rows = store.spark.read.parquet(kept)
         store.load(rows, g, path, modified, multifile)
         done.append(path)

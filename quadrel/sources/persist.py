@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrel.schema import QUADS, visible
+from quadrel.storage import create_new, delete, exists, rename
 from quadrel.store import ROW, Store
 
 
@@ -28,15 +29,10 @@ class Persistent:
 
     def __init__(self, store: Store, path: str, access: str = "read-write", silent: tuple[str, ...] = ()) -> None:
         self.store, self.path, self.silent = store, path.rstrip("/"), set(silent)
-        os.makedirs(self.path, exist_ok=True)
         self.lock = f"{self.path}/lock"
         if access == "read-write":
-            try:
-                fd = os.open(self.lock, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-            except FileExistsError as e:
-                raise PermissionError(f"{self.path} is in use") from e
-            os.write(fd, f"{os.getpid()} {time.time()}".encode())
-            os.close(fd)
+            if not create_new(store.spark, self.lock, f"{os.getpid()} {time.time()}"):
+                raise PermissionError(f"{self.path} is in use")
         base = self._base()
         journal = self._journal()
         if base is not None or journal is not None:
@@ -46,10 +42,10 @@ class Persistent:
             store.monitor(self._append)
 
     def _base(self) -> DataFrame | None:
-        return load_db(self.store.spark, f"{self.path}/base") if os.path.isdir(f"{self.path}/base") else None
+        return load_db(self.store.spark, f"{self.path}/base") if exists(self.store.spark, f"{self.path}/base") else None
 
     def _journal(self) -> DataFrame | None:
-        return self.store.spark.read.parquet(f"{self.path}/journal") if os.path.isdir(f"{self.path}/journal") else None
+        return self.store.spark.read.parquet(f"{self.path}/journal") if exists(self.store.spark, f"{self.path}/journal") else None
 
     def _append(self, events: DataFrame) -> None:
         kept = events.where(~F.col("g").isin(sorted(self.silent))) if self.silent else events
@@ -62,22 +58,20 @@ class Persistent:
     def flush(self) -> None:
         """Merges all journals into a new snapshot."""
         save_db(self.store.quads.where(~F.col("g").isin(sorted(self.silent))) if self.silent else self.store.quads, f"{self.path}/base-new")
-        import shutil
-
-        shutil.rmtree(f"{self.path}/base", ignore_errors=True)
-        os.rename(f"{self.path}/base-new", f"{self.path}/base")
-        shutil.rmtree(f"{self.path}/journal", ignore_errors=True)
+        spark = self.store.spark
+        delete(spark, f"{self.path}/base")
+        rename(spark, f"{self.path}/base-new", f"{self.path}/base")
+        delete(spark, f"{self.path}/journal")
 
     def properties(self) -> dict:
-        return {"directory": self.path, "silent": sorted(self.silent), "journal": os.path.isdir(f"{self.path}/journal"), "snapshot": os.path.isdir(f"{self.path}/base")}
+        return {"directory": self.path, "silent": sorted(self.silent), "journal": self._journal() is not None, "snapshot": self._base() is not None}
 
     def files_of(self, g: str) -> dict[str, str]:
         return {"snapshot": f"{self.path}/base", "journal": f"{self.path}/journal", "graph": g}
 
     def detach(self) -> None:
         self.store.monitors = [(c, m) for c, m in self.store.monitors if c != self._append]
-        if os.path.exists(self.lock):
-            os.remove(self.lock)
+        delete(self.store.spark, self.lock)
 
 
 def restore(spark: SparkSession, base: DataFrame | None, journal: DataFrame | None) -> DataFrame:

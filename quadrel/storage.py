@@ -10,6 +10,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[int, list[str]] = {}
@@ -85,9 +86,51 @@ def release(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+# -- files, wherever they lie (the shared folder may be on any file system Spark knows) --------------------------
+
+
+def _at(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where  # noqa: SLF001
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _at(spark, path)
+    return fs.exists(where)
+
+
+def modified(spark: SparkSession, path: str) -> str | None:
+    """The time of change, null if there is no such file."""
+    fs, where = _at(spark, path)
+    return str(fs.getFileStatus(where).getModificationTime()) if fs.exists(where) else None
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    fs, where = _at(spark, old)
+    if not fs.rename(where, _at(spark, new)[1]):
+        raise OSError(f"can't rename {old}")
+
+
+def create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a file unless it is there; tells whether it did."""
+    fs, where = _at(spark, path)
+    try:
+        out = fs.create(where, False)
+    except Py4JJavaError:
+        if fs.exists(where):
+            return False
+        raise
+    out.write(text.encode())
+    out.close()
+    return True
+
+
 def _delete(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)  # noqa: SLF001
+    fs, where = _at(spark, path)
+    fs.delete(where, True)
+
+
+delete = _delete
 
 
 def _release_all(spark: SparkSession) -> None:
