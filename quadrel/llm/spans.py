@@ -15,11 +15,13 @@ from quadrel.storage import materialize, ship
 
 #: Characters of a block that is hashed at once; bounds the memory of a task whatever the length of a text.
 BLOCK = 1 << 20
-#: Cells of a chunk of the sketch, the unit in which sketches are sent and merged.
-CHUNK = 1 << 18
-#: Least and greatest number of cells of a row of the sketch. Of the merged sketch a bit a cell goes to all tasks: 64 MB at most.
-LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 28
+#: Anchors a task holds before it sends them on.
+CHUNK_KEYS = 1 << 20
+#: Least number of cells of a row of a shard's sketch; the number grows with the anchors of a shard.
+LEAST_CELLS = 1 << 12
 ROWS = 2
+#: An anchor with more distinct regions isn't compared within one task.
+MANY_FORMS = 1 << 12
 _MULT = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)  # odd, so powers can be inverted modulo 2**64
 
 
@@ -121,108 +123,143 @@ def _cells(keys: np.ndarray, cells: int, rows: int = ROWS) -> list[np.ndarray]:
     return [(_mixed(keys, 0xA5A5 + 7919 * r) & np.uint64(cells - 1)).astype(np.int64) for r in range(rows)]
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """A chunk of saturated counts (0, 1, 2 for more): the places that aren't 0, or two bits a cell if that is shorter."""
-    some = np.flatnonzero(counts)
-    if len(some) * 4 < CHUNK // 4:
-        return b"s" + (some | ((counts[some] > 1).astype(np.int64) << 31)).astype(np.uint32).tobytes()
-    return b"d" + np.packbits(counts > 0).tobytes() + np.packbits(counts > 1).tobytes()
+def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (_mixed(keys, 0x5EED) % np.uint64(shards)).astype(np.int32)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    counts = np.zeros(CHUNK, np.uint8)
-    if data[:1] == b"s":
-        x = np.frombuffer(data, np.uint32, offset=1)
-        counts[x & np.uint32(0x7FFFFFFF)] = 1 + (x >> np.uint32(31))
-    else:
-        bits = np.unpackbits(np.frombuffer(data, np.uint8, offset=1)).reshape(2, CHUNK)
-        counts += bits[0] + bits[1]
-    return counts
+_SKETCH, _ROUTED, _KNOWN = 0, 1, 2
+_SENT = "shard int, what byte, cells binary, keys array<bigint>, docs array<{}>"
 
 
-def _sketch(keys_of, cells: int, rows: int):
-    """The sketch of a partition; ``keys_of`` gives of a batch arrays of keys and how often each counts."""
+def _anchors(length: int, gram: int, block: int, shards: int, cells: int, kind: pa.DataType, most: int):
+    """Anchors of texts, for the shards of the sketch. Of each chunk of anchors (each once a record) a shard gets the partition's sketch of it - the cells that
+    are counted, the top bit for twice or more - and the anchors with their records. An anchor that the chunk has in two records is known to
+    be repeated: it counts twice in the sketch, and its records don't wait for an estimate; so an anchor in a third of all records is sent once a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((rows, cells), np.uint8)
+        names: list = []
+        number: dict = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def given() -> pa.RecordBatch:
+            key, doc = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+            key, doc = key[new], doc[new]
+            first = np.ones(len(key), bool)
+            first[1:] = key[1:] != key[:-1]
+            times = np.diff(np.append(np.flatnonzero(first), len(key)))
+            known = np.repeat(times > 1, times)
+            rows: list[tuple] = []
+            shard = _shard_of(key[first], shards)
+            at = np.argsort(shard, kind="stable")
+            for part in np.split(at, np.flatnonzero(np.diff(shard[at])) + 1):
+                row_cells = [c.astype(np.uint32) | ((times[part] > 1).astype(np.uint32) << np.uint32(31)) for c in _cells(key[first][part], cells)]
+                rows.append((shard[part[0]], _SKETCH, np.stack(row_cells).tobytes(), None))
+            one = np.flatnonzero(~known)
+            own = _shard_of(key[one], shards)
+            at = np.argsort(own, kind="stable")
+            for part in np.split(at, np.flatnonzero(np.diff(own[at])) + 1) if len(one) else []:
+                rows.append((own[part[0]], _ROUTED, None, one[part]))
+            both = np.flatnonzero(known)
+            for i in range(0, len(both), 1 << 16):
+                rows.append((int(doc[both[i]]) % shards, _KNOWN, None, both[i : i + (1 << 16)]))
+            who = pa.array(names, kind)
+            picks = [r[3] for r in rows if r[3] is not None]
+            flat = np.concatenate(picks) if picks else np.empty(0, np.int64)
+            ends = pa.array(np.cumsum([0, *(0 if r[3] is None else len(r[3]) for r in rows)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(key[flat].view(np.int64))), pa.ListArray.from_arrays(ends, who.take(pa.array(doc[flat])))]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int8()), pa.array([r[2] for r in rows], pa.binary()), *lists], ["shard", "what", "cells", "keys", "docs"])
+
         for batch in batches:
-            for keys, times in keys_of(batch):
-                for row, at in zip(counts, _cells(keys, cells, rows)):
-                    cell, place = np.unique(at, return_inverse=True)
-                    n = np.bincount(place, times, len(cell))
-                    row[cell] = np.minimum(row[cell] + np.minimum(n, 2), 2)
-        chunks, data = [], []
-        for r in range(rows):
-            for k in range(cells // CHUNK):
-                part = counts[r, k * CHUNK : (k + 1) * CHUNK]
-                if part.any():
-                    chunks.append(r * (cells // CHUNK) + k)
-                    data.append(_packed(part))
-        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(data, pa.binary())], ["chunk", "data"])
+            for who, _, pieces in _blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length, block):
+                r = _regions(pieces, length, gram)
+                code = []
+                for w in who:
+                    if w not in number:
+                        number[w] = len(names)
+                        names.append(w)
+                    code.append(number[w])
+                held.append((r["key"], np.array(code)[r["piece"]]))
+                size += len(r["key"])
+                if size >= most:
+                    yield given()
+                    names, number, held, size = [], {}, [], 0
+        if size:
+            yield given()
 
     return run
 
 
-def _anchors(length: int, gram: int, block: int):
-    """The anchors' grams of a batch of texts, each once a record."""
-
-    def keys_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for who, _, pieces in _blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length, block):
-            r = _regions(pieces, length, gram)
-            number: dict = {}
-            doc = np.array([number.setdefault(w, len(number)) for w in who])[r["piece"]]
-            order = np.lexsort((r["key"], doc))
-            key, doc = r["key"][order], doc[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-            yield key[new], np.ones(new.sum())
-
-    return keys_of
+def estimated(counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys a sketch estimates to be counted twice or more; the estimate is never too low."""
+    hot = np.ones(len(keys), bool)
+    for row, cell in zip(counts, _cells(keys, counts.shape[1])):
+        hot &= row[cell] > 1
+    return hot
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    total = np.zeros(CHUNK, np.uint8)
-    for x in table.column("data"):
-        total = np.minimum(total + _unpacked(x.as_py()), 2)
-    return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "data": pa.array([_packed(total)], pa.binary())})
+def _by_shard(cells: int, kind: pa.DataType):
+    """Of the rows of ``_anchors``, sorted by shard and kind: the partitions' sketches of a shard are merged, then its anchors stream past the merged
+    sketch. Given are (doc, key) of anchors estimated, or known, to be repeated."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, counts = None, np.zeros((ROWS, cells), np.uint8)
+        for batch in batches:
+            docs, keys = [], []
+            for i, (shard, what) in enumerate(zip(batch.column("shard").to_pylist(), batch.column("what").to_pylist())):
+                if shard != now:
+                    now = shard
+                    counts[:] = 0
+                if what == _SKETCH:
+                    for row, cell in zip(counts, np.frombuffer(batch.column("cells")[i].as_py(), np.uint32).reshape(ROWS, -1)):
+                        twice = cell >> np.uint32(31) == 1
+                        cell = (cell & np.uint32(0x7FFFFFFF)).astype(np.int64)
+                        some, n = np.unique(cell, return_counts=True)
+                        row[some] = np.minimum(row[some] + np.minimum(n, 2), 2)
+                        row[cell[twice]] = 2
+                    continue
+                key = batch.column("keys")[i].values
+                hot = np.ones(len(key), bool) if what == _KNOWN else estimated(counts, key.to_numpy().view(np.uint64))
+                at = pa.array(np.flatnonzero(hot))
+                docs.append(batch.column("docs")[i].values.take(at))
+                keys.append(key.take(at))
+            if docs:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(docs), pa.concat_arrays(keys)], ["doc", "key"])
 
-def repeated_cells(rows: DataFrame, keys_of, cells: int, depth: int = ROWS) -> np.ndarray:
-    """Per row of the sketch a bit map of the cells counted twice or more, merged from the sketches of all partitions - of many
-    partitions in two rounds. Its size is fixed by ``cells``."""
-    parts = rows.mapInArrow(_sketch(keys_of, cells, depth), "chunk int, data binary")
-    tasks = rows.rdd.getNumPartitions()
-    if tasks > 64:
-        lots = int(tasks**0.5)
-        parts = parts.withColumn("lot", F.pmod(F.spark_partition_id(), F.lit(lots))).groupBy("chunk", "lot").applyInArrow(_merge, "chunk int, data binary")
-    maps = np.zeros((depth, cells // 8), np.uint8)
-    per = cells // CHUNK
-    for r in parts.groupBy("chunk").applyInArrow(_merge, "chunk int, data binary").toLocalIterator():
-        row, k = divmod(r["chunk"], per)
-        maps[row, k * CHUNK // 8 : (k + 1) * CHUNK // 8] = np.packbits(_unpacked(bytes(r["data"])) > 1)
-    return maps
+    return run
 
 
-def _repeated(keys: np.ndarray, maps: np.ndarray) -> np.ndarray:
-    hot = np.ones(len(keys), bool)
-    for bits, cell in zip(maps, _cells(keys, maps.shape[1] * 8, len(maps))):
-        hot &= (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
-    return hot
+def repeated_anchors(texts: DataFrame, length: int, gram: int, block: int, kind: str, arrow: pa.DataType, cells: int | None = None) -> DataFrame:
+    """(doc, key) of the anchors estimated to be in two records or more; none that is is left out. There are as many shards as shuffle partitions; a
+    shard's sketch has about four cells an anchor (``cells`` a row, if given), so what a task holds is its share of the data and nothing goes to all tasks."""
+    shards = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if cells is None:
+        chars = texts.agg(F.sum(F.length("text"))).collect()[0][0] or 0
+        cells = _cells_for(2 * chars // (length - gram + 2) // shards)
+    sent = texts.mapInArrow(_anchors(length, gram, block, shards, cells, arrow, CHUNK_KEYS), _SENT.format(kind))
+    return sent.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "what").mapInArrow(_by_shard(cells, arrow), f"doc {kind}, key bigint")
 
 
 def _cells_for(keys: int) -> int:
-    return min(MOST_CELLS, max(LEAST_CELLS, 1 << max(0, 4 * keys - 1).bit_length()))
+    return max(LEAST_CELLS, 1 << max(0, 4 * keys - 1).bit_length())
 
 
 _REGION = "doc {}, start bigint, n int, key bigint, c1 bigint, c2 bigint"
 
 
-def _repeated_regions(length: int, gram: int, block: int, maps, kind: pa.DataType):
+def _repeated_regions(length: int, gram: int, block: int, kind: pa.DataType):
+    """The regions whose anchor is one of the repeated ones (column ``hot``) of the texts of a batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for who, at, pieces in _blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length, block):
+            known = np.unique(batch.column("hot").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            for who, at, pieces in _blocks(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), length, block):
                 r = _regions(pieces, length, gram)
-                hot = _repeated(r["key"], maps.value)
+                hot = np.isin(r["key"], known)
                 piece = r["piece"][hot]
                 cols = [pa.array(who, kind).take(pa.array(piece)), pa.array(r["start"][hot] + at[piece]), pa.array(r["n"][hot].astype(np.int32))]
                 cols += [pa.array(r[c][hot].view(np.int64)) for c in ("key", "c1", "c2")]
@@ -231,57 +268,102 @@ def _repeated_regions(length: int, gram: int, block: int, maps, kind: pa.DataTyp
     return run
 
 
+_ASKED = ("start", "n", "many", "key", "c1", "c2", "forms")
+_PIECE = "doc {}, start bigint, many boolean, key bigint, c1 bigint, c2 bigint, forms bigint, piece string"
+
+
 def _cut(length: int, kind: pa.DataType):
-    """The texts of the regions asked for: doc, start, many, piece."""
+    """The texts of the regions asked for, in the columns of ``_PIECE``."""
+    types = (kind, pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+    names = [c.split()[0] for c in _PIECE.split(", ")]
+
+    def given(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out)) or [[]] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for doc, text, asked in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "asked"))):
-                out += [(doc, a["start"], a["many"], text[a["start"] : a["start"] + a["n"] + length - 1]) for a in asked]
+                out += [(doc, a["start"], a["many"], a["key"], a["c1"], a["c2"], a["forms"], text[a["start"] : a["start"] + a["n"] + length - 1]) for a in asked]
                 if len(out) > 20_000:
                     yield given(out)
                     out = []
             yield given(out)
 
-    def given(out: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*out)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, pa.int64(), pa.bool_(), pa.string()))], ["doc", "start", "many", "piece"])
-
     return run
 
 
-def _windows_of(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """All windows of the pieces of a batch, some pieces at a time: place of the piece in the batch, offset, two hashes."""
-    texts = batch.column("piece").to_pylist()
-    some = max(1, BLOCK // (4 * length))
-    for a in range(0, len(texts), some):
-        part = texts[a : a + some]
-        points, sizes = _points(part), np.array([len(x) for x in part])
-        n = np.maximum(sizes - length + 1, 0)
-        which = np.repeat(np.arange(len(part)), n)
-        off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start = (np.cumsum(sizes) - sizes)[which] + off
-        yield which + a, off, *(_Hashes(points, k).of(start, start + length) for k in (0, 1))
-
-
-def _window_keys(length: int):
-    def keys_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        times = 1 + batch.column("many").to_numpy(zero_copy_only=False).astype(np.int64)
-        for which, _, w1, _ in _windows_of(batch, length):
-            yield w1, times[which]
-
-    return keys_of
+_WINDOWS = "key bigint, c1 bigint, c2 bigint, doc {}, start bigint, offs array<int>, w1 bigint, w2 bigint, off int, many boolean"
+
+
+def _windows_of(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of some pieces: number of the piece, offset, two hashes."""
+    points, sizes = _points(texts), np.array([len(x) for x in texts])
+    n = np.maximum(sizes - length + 1, 0)
+    which = np.repeat(np.arange(len(texts)), n)
+    off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start = (np.cumsum(sizes) - sizes)[which] + off
+    return which, off, *(_Hashes(points, k).of(start, start + length) for k in (0, 1))
+
+
+def _compared(length: int, kind: pa.DataType, most: int):
+    """Windows of pieces that come sorted by anchor. Equal windows have equal anchors, so those of an anchor's pieces are compared among themselves: of each piece
+    that stands in one record the offsets of windows that stand in another too (column ``offs``). Pieces of an anchor with more than
+    ``most`` of them may be in several tasks; their windows are given one by one, to be grouped."""
+    names = [c.split()[0] for c in _WINDOWS.split(", ")]
+
+    def inside(rows: list[dict]) -> pa.RecordBatch:
+        number: dict = {}
+        doc = np.array([number.setdefault(r["doc"], len(number)) for r in rows])
+        many = np.array([r["many"] for r in rows])
+        which, off, w1, w2 = _windows_of([r["piece"] for r in rows], length)
+        order = np.lexsort((w2, w1))
+        new = np.ones(len(order), bool)
+        new[1:] = (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1])
+        edge = np.flatnonzero(new)
+        d = doc[which[order]]
+        shared = np.empty(len(order), bool)
+        if len(order):
+            hit = (np.minimum.reduceat(d, edge) != np.maximum.reduceat(d, edge)) | np.logical_or.reduceat(many[which[order]], edge)
+            shared[order] = np.repeat(hit, np.diff(np.append(edge, len(order))))
+            shared &= ~many[which]
+        picked, count = off[shared].astype(np.int32), np.bincount(which[shared], minlength=len(rows))
+        some = np.flatnonzero(count)
+        ends = np.concatenate(([0], np.cumsum(count[some]))).astype(np.int32)
+        cols = [pa.array([rows[i][c] for i in some], t) for c, t in (("key", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("doc", kind), ("start", pa.int64()))]
+        none = [pa.nulls(len(some), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.bool_())]
+        return pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(picked)), *none], names)
+
+    def each(rows: list[dict]) -> pa.RecordBatch:
+        which, off, w1, w2 = _windows_of([r["piece"] for r in rows], length)
+        col = lambda c, t: pa.array([r[c] for r in rows], t).take(pa.array(which))
+        return pa.RecordBatch.from_arrays([
+            col("key", pa.int64()), col("c1", pa.int64()), col("c2", pa.int64()), col("doc", kind), col("start", pa.int64()), pa.nulls(len(which), pa.list_(pa.int32())),
+            pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(off.astype(np.int32)), col("many", pa.bool_())], names)
 
-
-def _repeated_windows(length: int, maps):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        large: list[dict] = []
+        size = wide = 0
         for batch in batches:
-            for which, off, w1, w2 in _windows_of(batch, length):
-                hot = _repeated(w1, maps.value)
-                pick = pa.array(which[hot])
-                cols = [pa.array(w1[hot].view(np.int64)), pa.array(w2[hot].view(np.int64)), *(batch.column(c).take(pick) for c in ("doc", "start")), pa.array(off[hot].astype(np.int32)), batch.column("many").take(pick)]
-                yield pa.RecordBatch.from_arrays(cols, ["w1", "w2", "doc", "start", "off", "many"])
+            for r in batch.to_pylist():
+                if r["forms"] > most:
+                    large.append(r)
+                    wide += len(r["piece"])
+                    if wide > BLOCK // 4:
+                        yield each(large)
+                        large, wide = [], 0
+                    continue
+                if size > BLOCK // 4 and r["key"] != rows[-1]["key"]:
+                    yield inside(rows)
+                    rows, size = [], 0
+                rows.append(r)
+                size += len(r["piece"])
+        if rows:
+            yield inside(rows)
+        if large:
+            yield each(large)
 
     return run
 
@@ -292,44 +374,39 @@ def shared_spans(docs: DataFrame, length: int = 150, doc_id: str = "doc_id", tex
 
     1. Each window of ``length`` characters has an anchor, its gram of least hash; neighbouring windows with the same anchor form a
        region. Equal windows have equal anchors, so a window can only be shared if its anchor's gram is in two records.
-    2. Count-min prefilter: partitions count, once a record, the anchors' grams in sketches of saturating counters, which
-       are merged; a count is never too low. A second pass over the texts keeps the regions whose anchor is estimated to be in two
-       records or more and loses none.
+    2. Count-min prefilter: the partitions' sketches of anchors' grams (each once a record) are merged by shard of the gram, as many shards as shuffle
+       partitions, and the anchors pass the merged sketch of their shard; a count is never too low. A second pass over the texts keeps the
+       regions whose anchor is estimated to be in two records or more and loses none (``repeated_anchors``).
     3. Regions kept are grouped exactly by anchor and by 128 bits of their whole text. A text found in two records is shared
        as a whole. Only where regions of one anchor differ and some stand in one record alone are single windows compared,
-       one region for each distinct text: their windows pass a sketch of their own, and those estimated to be repeated are
-       grouped exactly, again by 128 bits.
+       one region for each distinct text and within the anchor, again by 128 bits (``_compared``).
     4. Shared windows are merged into runs per record.
 
     No pair of records is ever formed, and a passage in a third of all records is one group that is combined before the shuffle
-    by counts and extremes. The sketch has about four cells an anchor within ``LEAST_CELLS`` and ``MOST_CELLS``; beyond that it
-    keeps more than it should, and results stay whole. Long texts are hashed in overlapping pieces of ``block`` characters, at most 2**21.
+    by counts and extremes. Sketches grow with the data, about four cells an anchor, and so do the shards they are dealt to; nothing that grows is broadcast. Long texts are hashed in overlapping pieces of ``block`` characters, at most 2**21.
 
     Null, empty and shorter texts and null ids give nothing. A record is an id: rows repeated under one id don't share with
     each other, but an id must not have two different texts. Empty in, empty out; other columns are ignored.
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= length))
-    if cells is None:
-        chars = texts.agg(F.sum(F.length("text"))).collect()[0][0] or 0
-        cells = _cells_for(2 * chars // (length - gram + 2))
     kind, arrow = docs.schema[doc_id].dataType.simpleString(), _arrow_type(docs, doc_id)
-    share = docs.sparkSession.sparkContext.broadcast
-    maps = share(repeated_cells(texts, _anchors(length, gram, block), cells))
-    regions = materialize(texts.mapInArrow(_repeated_regions(length, gram, block, maps, arrow), _REGION.format(kind)))
+    hot = repeated_anchors(texts, length, gram, block, kind, arrow, cells).groupBy("doc").agg(F.collect_set("key").alias("hot"))
+    regions = materialize(texts.join(hot, "doc").select("doc", "text", "hot").mapInArrow(_repeated_regions(length, gram, block, arrow), _REGION.format(kind)))
     forms = regions.groupBy("key", "c1", "c2").agg((F.min("doc") != F.max("doc")).alias("many"), F.min(F.struct("doc", "start", "n")).alias("one"), F.count(F.lit(1)).alias("regions"))
     forms = materialize(forms)
-    mixed = forms.groupBy("key").agg(F.count(F.lit(1)).alias("forms"), F.bool_and("many").alias("all_many")).where("forms > 1 and not all_many").select("key")
-    differing = lookup_join(forms, mixed, "key", "inner").select("key", "c1", "c2", "many", "one.*")
-    asked = differing.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "many")).alias("asked"))
-    pieces = materialize(texts.join(asked, "doc").mapInArrow(_cut(length, arrow), f"doc {kind}, start bigint, many boolean, piece string"))
-    n_windows = pieces.agg(F.sum(F.length("piece") - (length - 1))).collect()[0][0] or 0
-    window_maps = share(repeated_cells(pieces, _window_keys(length), _cells_for(n_windows), 1))
-    windows = pieces.mapInArrow(_repeated_windows(length, window_maps), f"w1 bigint, w2 bigint, doc {kind}, start bigint, off int, many boolean")
+    mixed = forms.groupBy("key").agg(F.count(F.lit(1)).alias("forms"), F.bool_and("many").alias("all_many")).where("forms > 1 and not all_many").select("key", "forms")
+    differing = lookup_join(forms, mixed, "key", "inner").select("key", "c1", "c2", "many", "forms", "one.*")
+    asked = differing.groupBy("doc").agg(F.collect_list(F.struct(*_ASKED)).alias("asked"))
+    pieces = texts.join(asked, "doc").select("doc", "text", "asked").mapInArrow(_cut(length, arrow), _PIECE.format(kind))
+    route = F.when(F.col("forms") > MANY_FORMS, F.xxhash64("doc", "start")).otherwise(F.col("key"))
+    dealt = pieces.withColumn("_to", route).repartition("_to").drop("_to").sortWithinPartitions("key")
+    found = materialize(dealt.mapInArrow(_compared(length, arrow, MANY_FORMS), _WINDOWS.format(kind)))
+    windows = found.where("w1 is not null")
     common = windows.groupBy("w1", "w2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.bool_or("many").alias("m"), F.count(F.lit(1)).alias("rows")).where("m or lo <> hi")
     common = materialize(common.select("w1", "w2", "rows"))
-    single = lookup_join(windows.where(~F.col("many")), common.drop("rows"), ["w1", "w2"], "inner", hot=counted_hot(common, "w1", "rows")).groupBy("doc", "start").agg(F.collect_set("off").alias("offs"))
-    partly = differing.where(~F.col("many")).join(single, ["doc", "start"]).select("c1", "c2", "key", "offs")
+    single = lookup_join(windows.where(~F.col("many")), common.drop("rows"), ["w1", "w2"], "inner", hot=counted_hot(common, "w1", "rows")).groupBy("c1", "c2", "key").agg(F.collect_set("off").alias("offs"))
+    partly = found.where("offs is not null").select("c1", "c2", "key", "offs").unionByName(single)
     wholly = forms.where("many").select("c1", "c2", "key", F.lit(None).cast("array<int>").alias("offs"))
     hits = lookup_join(regions, wholly.unionByName(partly), ["c1", "c2", "key"], "inner", hot=counted_hot(forms, "c1", "regions"))
     begin = F.explode(F.coalesce(F.transform("offs", lambda o: F.struct((F.col("start") + o).alias("a"), (F.col("start") + o + length).alias("b"))), F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n") + length - 1).alias("b")))))

@@ -3,7 +3,6 @@
 import random
 import re
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,15 +218,35 @@ def test_shared_spans_match_brute_force(spark, seed):
     assert shared_spans(df.limit(0), 30, gram=8).count() == 0
 
 
-def test_a_full_sketch_loses_nothing(spark, monkeypatch):
-    full = lambda rows, keys_of, cells, depth=2: np.full((depth, cells // 8), 255, np.uint8)  # noqa: E731  every window estimated repeated
-    monkeypatch.setattr(spans, "repeated_cells", full)
+def test_a_full_sketch_loses_nothing(spark):
     rng = random.Random(9)
     docs = [(i, "".join(rng.choice("ab") for _ in range(200)) + "common passage that is long enough") for i in range(20)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(shared_spans(df, 20, gram=6, cells=8)) == brute_spans(docs, 20)  # every anchor is estimated repeated
+
+
+def test_large_groups_and_small_chunks(spark, monkeypatch):
+    monkeypatch.setattr(spans, "MANY_FORMS", 2)
+    monkeypatch.setattr(spans, "CHUNK_KEYS", 50)
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    common = [word(40) for _ in range(3)]
+    docs = [(f"d{i}", word(rng.randrange(30)) + common[i % 3] + word(rng.randrange(30)) + common[(i + 1) % 3][: rng.randrange(10, 40)]) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
     assert rows(shared_spans(df, 20, gram=6)) == brute_spans(docs, 20)
 
 
+def test_the_sketch_passes_few_unique_anchors(spark):
+    rng = random.Random(12)
+    docs = [(i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(3000))) for i in range(300)]
+    texts = spark.createDataFrame(docs, "doc long, text string")
+    import pyarrow as pa
+
+    passed = lambda cells: spans.repeated_anchors(texts, 150, 50, spans.BLOCK, "bigint", pa.int64(), cells).count()
+    every = passed(8)
+    assert every > 10_000 and passed(None) < 0.2 * every
+
+
 def test_mix_of_a_stated_total_clamps_and_redistributes(spark):
     data = [(i, "big", 10) for i in range(1000)] + [(2000 + i, "tiny", 10) for i in range(5)] + [(3000 + i, "mid", 10) for i in range(200)]
     df = spark.createDataFrame(data, "doc_id long, source string, n_tokens long")
