@@ -125,7 +125,16 @@ k AS (SELECT r.lit_id, replace(lower(coalesce(r.lang, '')), '_', '-') AS lang, C
   regexp_matches(text, '[;|]') AS fields FROM rdf11 r JOIN x USING (lit_id)),
 g AS (SELECT lit_id, min(lit_id) OVER (PARTITION BY lang, fields, form) AS keep_id FROM k)"""
 
+# All windows of 150 characters, grouped by their text.
+_SPANS = """d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 150 AND doc_id IS NOT NULL), w AS (SELECT doc_id, i, substr(text, i + 1, 150) AS t FROM (SELECT doc_id, text, unnest(range(0, length(text) - 149)) AS i FROM d)),
+c AS (SELECT t FROM w GROUP BY t HAVING min(doc_id) <> max(doc_id)), h AS (SELECT doc_id, i FROM w SEMI JOIN c USING (t)),
+n AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 150, true) AS new FROM h),
+g AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n),
+sp AS (SELECT doc_id, min(i) AS span_start, max(i) + 150 AS span_end FROM g GROUP BY doc_id, run)"""
+
 ORACLES = {
+    "p10_found": f"WITH {_SPANS} SELECT doc_id, span_start, span_end FROM sp",
+    "p10_shared": f"WITH {_SPANS} SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce((SELECT sum(span_end - span_start) FROM sp WHERE sp.doc_id = documents.doc_id), 0)::BIGINT AS n_shared FROM documents",
     "p1_found": f"WITH {_SLOT} SELECT token, mark FROM (SELECT token, {_MARK} FROM t GROUP BY token) WHERE mark IS NOT NULL",
     "p1_terms": f"WITH {_SLOT} SELECT token, count(*) AS n, count(DISTINCT lit_id) AS records, {_MARK} FROM t GROUP BY token",
     "p1_literals": f"WITH t AS (SELECT DISTINCT lit_id, pos, literal FROM rdf_litindex WHERE literal IS NOT NULL AND lit_id IS NOT NULL) SELECT literal, count(*) AS n, count(DISTINCT lit_id) AS records, {_MARK} FROM t GROUP BY literal",
