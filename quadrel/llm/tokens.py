@@ -144,7 +144,9 @@ def word_table(corpus_words: DataFrame, path: str | None = None) -> DataFrame:
     return fold_merges(counts.repartition(tasks, F.xxhash64("word")), path)
 
 
-def _assemble(frequent):
+def _assemble(frequent, wide):
+    """The ids of texts as bytes (of type ``wide``), the greatest value standing for a word that isn't frequent; and these words in their order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, offsets, flat = frequent.value
         known = pa.array(known, pa.string())
@@ -158,15 +160,14 @@ def _assemble(frequent):
             rare = at < 0
             n = np.where(rare, 1, sizes[np.maximum(at, 0)]) if len(sizes) else np.ones(len(at), np.int64)
             ends = np.concatenate(([0], np.cumsum(n)))
-            ids = np.empty(ends[-1], np.int32)
+            ids = np.empty(ends[-1], wide)
             if len(sizes):
                 src = np.repeat(np.where(rare, 0, offsets[np.maximum(at, 0)]), n) + (np.arange(ends[-1]) - np.repeat(ends[:-1], n))
                 ids[:] = flat[np.minimum(src, len(flat) - 1)]
             where = np.flatnonzero(rare)
-            place = np.cumsum(rare) - rare  # the rare words before each word
-            doc_rare = np.concatenate((place, [len(where)]))[start]
-            ids[ends[:-1][where]] = -1 - (np.arange(len(where)) - doc_rare[np.searchsorted(start, where, side="right") - 1])
-            out = pa.ListArray.from_arrays(pa.array(ends[start].astype(np.int32)), pa.array(ids))
+            doc_rare = np.concatenate(([0], np.cumsum(rare)))[start]
+            ids[ends[:-1][where]] = np.iinfo(wide).max
+            out = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer((ends[start] * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
             missing = pa.ListArray.from_arrays(pa.array(doc_rare.astype(np.int32)), vals.take(pa.array(where)))
             names = batch.schema.names[:-1]  # all columns but the words
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), out, missing], [*names, "ids", "rare"])
@@ -174,6 +175,30 @@ def _assemble(frequent):
     return run
 
 
+def _filled(wide):
+    """Texts' ids as lists, each mark replaced by the next list of ``fill``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("ids")
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // np.dtype(wide).itemsize
+            data = column.buffers()[2]
+            ids = (np.frombuffer(data, wide) if data else np.empty(0, wide))[ends[0] : ends[-1]]
+            ends = ends - ends[0]
+            mark = ids == np.iinfo(wide).max
+            n = np.ones(len(ids), np.int64)
+            lists = batch.column("fill").flatten()
+            n[mark] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            at = np.concatenate(([0], np.cumsum(n)))
+            out = np.empty(at[-1], np.int32)
+            out[at[:-1][~mark]] = ids[~mark]
+            out[np.repeat(mark, n)] = lists.flatten().to_numpy(zero_copy_only=False)
+            names = batch.schema.names[:-2]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.ListArray.from_arrays(pa.array(at[ends].astype(np.int32)), pa.array(out))], [*names, "ids"])
+
+    return run
+
+
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, the columns ``keep`` and ``ids`` (ints) of every row, without special tokens; a null and an empty text both give an empty list.
 
@@ -199,15 +224,17 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     offsets = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
     frequent = spark.sparkContext.broadcast((top.column("word").to_pylist(), offsets, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)))
     types = ", ".join(f"`{c}` {docs.schema[c if c != 'doc_id' else doc_id].dataType.simpleString()}" for c in ("doc_id", *keep))
-    coded = materialize(texts.withColumn("row", F.monotonically_increasing_id()).select("doc_id", *kept, "row", "w").mapInArrow(_assemble(frequent), f"{types}, row bigint, ids array<int>, rare array<string>"))
+    wide = np.uint16 if len(vocabulary(path)[0]) < np.iinfo(np.uint16).max else np.uint32
+    coded = materialize(texts.withColumn("row", F.monotonically_increasing_id()).select("doc_id", *kept, "row", "w").mapInArrow(_assemble(frequent, wide), f"{types}, row bigint, ids binary, rare array<string>"))
     marks = coded.where(F.size("rare") > 0)
     last = top.column("n")[-1].as_py() if top.num_rows else 0  # words not sent are rarer than all that are, or long
     hot = counted_hot(table.where(~sent | (F.col("n") <= last)), "word", "n")
     found = lookup_join(marks.select("row", F.posexplode("rare").alias("k", "word")), table.select("word", F.col("ids").alias("word_ids")), "word", "inner", hot=hot)
     back = found.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "word_ids"))), lambda x: x["word_ids"]).alias("fill"))
-    ids = F.flatten(F.transform("ids", lambda i: F.when(i < 0, F.get("fill", -1 - i)).otherwise(F.array(i))))
-    filled = marks.select("doc_id", *kept, "row", "ids").join(back, "row").select("doc_id", *kept, ids.alias("ids"))
-    return coded.where(F.size("rare") == 0).select("doc_id", *kept, "ids").unionByName(filled)
+    none = F.array().cast("array<array<int>>").alias("fill")
+    whole = coded.where(F.size("rare") == 0).select("doc_id", *kept, "ids", none)
+    joined = marks.select("doc_id", *kept, "row", "ids").join(back, "row").select("doc_id", *kept, "ids", "fill")
+    return whole.unionByName(joined).mapInArrow(_filled(wide), f"{types}, ids array<int>")
 
 
 def decode(ids: Column, path: str | None = None) -> Column:
