@@ -87,6 +87,14 @@ def fold_merges(coded: DataFrame, path: str | None = None) -> DataFrame:
     that is joined ranks above its parts, so no pair made by a join can come before the other places of the same pair. Both give the same ids."""
     of_bytes, merges = _merge_json(path)
     byte_ids, table = F.from_json(F.lit(of_bytes), "array<bigint>"), F.from_json(F.lit(merges), "array<map<string,int>>").cast("array<map<bigint,int>>")
+    latin = F.decode(F.encode("word", "utf-8"), "iso-8859-1")
+    start = coded.withColumn("_ids", F.transform(F.split(latin, ""), lambda c: F.get(byte_ids, F.ascii(c))))
+    # Bound to a variable, or each of its uses would be a copy in the plan that all tasks read.
+    return start.withColumn("ids", _let(table, _fold)).drop("_ids")
+
+
+def _fold(table: Column) -> Column:
+    """The ids of ``word``, whose bytes' ids are ``_ids``."""
 
     def rank(a: Column, b: Column) -> Column:
         key = a * _STEP + b
@@ -122,13 +130,11 @@ def fold_merges(coded: DataFrame, path: str | None = None) -> DataFrame:
         go = lambda ranks: _let(F.array_min(ranks), lambda m: F.when(m.isNull() | (m == _NEVER), stop).otherwise(F.struct(sweep(acc["ids"], ranks, m).alias("ids"), F.lit(False).alias("over"))))
         return F.when(acc["over"], acc).otherwise(_let(ranks_of(acc["ids"]), go))
 
-    latin = F.decode(F.encode("word", "utf-8"), "iso-8859-1")
-    start = coded.withColumn("_ids", F.transform(F.split(latin, ""), lambda c: F.get(byte_ids, F.ascii(c))))
     ids, steps = F.col("_ids"), F.array_repeat(F.lit(0), F.size("_ids") - 1)
     as_ints = lambda acc: F.transform(acc["ids"], lambda i: i.cast("int"))
     by_place = F.aggregate(steps, F.struct(ids.alias("ids"), ranks_of(ids).alias("ranks")), step, as_ints)
     by_pair = F.aggregate(steps, F.struct(ids.alias("ids"), F.lit(False).alias("over")), sweep_step, as_ints)
-    return start.withColumn("ids", F.when(F.octet_length("word") < LONG_WORD, by_place).otherwise(by_pair)).drop("_ids")
+    return F.when(F.octet_length("word") < LONG_WORD, by_place).otherwise(by_pair)
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
