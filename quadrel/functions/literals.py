@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import re
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -27,6 +28,12 @@ _NUMBER_FORM = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 _NUMBER = rf"^{_NUMBER_FORM}\z"
 
 
+#: Hooks that the user of the library sets. ``IN_GROUND_TYPE``: called with (value, type or None) before anything else, give (text, type, lang) or None.
+#: ``OUT_TYPE``: datatype -> function from the text to a host value, used by ``host_value``.
+IN_GROUND_TYPE: list[Callable[[object, str | None], tuple[str, str | None, str | None] | None]] = []
+OUT_TYPE: dict[str, Callable[[str], object]] = {}
+
+
 class LiteralError(ValueError):
     """A value that isn't in the value space of its type."""
 
@@ -47,6 +54,9 @@ def canonical(value, type_: str | None = None, lang: str | None = None) -> tuple
     leading zeros and must be within their type's limits; booleans may be given as true, "true", 1 or 0."""
     if lang is not None:
         return str(value), None, lang.lower()
+    for hook in IN_GROUND_TYPE:
+        if (found := hook(value, type_)) is not None:
+            return found
     if type_ is None:
         if isinstance(value, bool):
             return ("true" if value else "false"), XSD + "boolean", None
@@ -92,6 +102,25 @@ def canonical(value, type_: str | None = None, lang: str | None = None) -> tuple
     return str(value), type_, None
 
 
+def host_value(text: str, type_: str | None) -> object:
+    """The host value of a literal: by the hook of its type, else of numbers, booleans and dates; other texts and faulty forms stay texts."""
+    if type_ in OUT_TYPE:
+        return OUT_TYPE[type_](text)
+    name = (type_ or "").removeprefix(XSD)
+    try:
+        if name in INTEGER_LIMITS:
+            return int(text)
+        if name in FLOATS:
+            return float(text.replace("INF", "inf"))
+        if name == "decimal":
+            return Decimal(text)
+        if name == "date":
+            return dt.date.fromisoformat(text)
+    except (ValueError, ArithmeticError):
+        return text
+    return {"true": True, "1": True, "false": False, "0": False}.get(text, text) if name == "boolean" else text
+
+
 def is_numeric(o_dt: Column) -> Column:
     """Whether a datatype is numeric; float and nonNegativeInteger are."""
     return F.coalesce(o_dt.isin(*_INT, XSD + "decimal", *(XSD + f for f in FLOATS)), F.lit(False))

@@ -25,7 +25,7 @@ def list_cells(quads: DataFrame, maximal: bool = True) -> DataFrame:
     """Every cell of every list with its place: list, cell, pos (from 0), done (the list ends properly in nil).
 
     ``maximal``: only lists whose head is no other cell's rest; else every cell heads a list. Places are found by doubling: spans
-    of 1, 2, 4, ... cells are joined to longer ones, so a list of n cells takes log n rounds. A branch gives the cells of all
+    of 1, 2, 4, ... cells are joined to longer ones, so a list of n cells takes log n rounds. Nil, the end of all lists, is no key of a join. A branch gives the cells of all
     its ways; a loop of cells has no end, is no proper list, and gives nothing."""
     first, rest = _cells(quads)
     heads = first.select("cell").distinct()
@@ -35,13 +35,13 @@ def list_cells(quads: DataFrame, maximal: bool = True) -> DataFrame:
     found = materialize(heads.select(F.col("cell").alias("list"), "cell", F.lit(0).alias("pos")))
     n, width, cells = found.count(), 1, hops.count()
     while width <= cells:
-        step = found.join(hops.select(F.col("a").alias("cell"), F.col("b")), "cell").select("list", F.col("b").alias("cell"), (F.col("pos") + width).alias("pos"))
+        step = found.where(F.col("cell") != NIL).join(hops.select(F.col("a").alias("cell"), F.col("b")), "cell").select("list", F.col("b").alias("cell"), (F.col("pos") + width).alias("pos"))
         found = materialize(found.unionByName(step).distinct())
         size = found.count()
         if size == n:
             break
         n, width = size, width * 2
-        hops = materialize(hops.join(hops.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct())
+        hops = materialize(hops.where(F.col("b") != NIL).join(hops.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct())
     ends = found.where(F.col("cell") == NIL).select("list").distinct().withColumn("done", F.lit(True))
     return found.where(F.col("cell") != NIL).join(ends, "list", "left").withColumn("done", F.coalesce("done", F.lit(False)))
 
@@ -110,8 +110,11 @@ def _as_quads(rows: DataFrame, g: str) -> DataFrame:
 
 
 def retract_list(quads: DataFrame, head: str) -> DataFrame:
-    """The quads without the cells of the list at ``head``: their first, rest and type rdf:List; other statements stay."""
-    cells = list_cells(quads, maximal=False).where(F.col("list") == head).select(F.col("cell").alias("s")).distinct()
+    """The quads without the cells of the list at ``head``: their first, rest and type rdf:List; other statements stay. ``head`` may be an inner cell: its
+    list is found among the whole lists, of which the cells from it on go."""
+    cells = materialize(list_cells(quads))
+    at = cells.where(F.col("cell") == head).select("list", F.col("pos").alias("_from"))
+    cells = cells.join(at, "list").where(F.col("pos") >= F.col("_from")).select(F.col("cell").alias("s")).distinct()
     structural = F.col("p").isin(FIRST, REST) | ((F.col("p") == RDF + "type") & (F.col("o") == RDF + "List"))
     return quads.where(~structural).unionByName(quads.where(structural).join(cells, "s", "left_anti").select(*quads.columns))
 

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from quadrel.functions.lexical import cut, typed, valid
 
 
-def wide_table(rows: DataFrame, attributes: Mapping[str, tuple[str, str]], entity: str, attribute: str, value: str, order: list[str], source: str | None = None) -> DataFrame:
+def wide_table(rows: DataFrame, attributes: Mapping[str, tuple[str, str]], entity: str, attribute: str, value: str, order: list[str], source: str | None = None, long_integers: bool = False) -> DataFrame:
     """One row per entity that has a row of any of the attributes: ``entity`` and a typed column per attribute.
 
     ``attributes``: name of the attribute -> (column, type as in ``functions.lexical.typed``). Of several valid values of a
     cell the one greatest by ``order`` counts (nulls are least). With ``source`` there is a column ``<column>__source`` too, the
-    source column of the row that gives the value.
+    source column of the row that gives the value. An integer column is DECIMAL(38,0), the widest there is; with ``long_integers`` each has a text column
+    ``<column>__long`` beside it with the canonical digits of a value that needs more, so no valid value is lost.
 
     Values are reduced to one per cell by a max that is combined before the shuffle, so a hot entity or attribute is no
     burden; then the entity-by-attribute grid is completed (each entity explodes the short list of attributes), values are
@@ -43,6 +44,9 @@ def wide_table(rows: DataFrame, attributes: Mapping[str, tuple[str, str]], entit
     for i, (column, kind) in enumerate(attributes.values()):
         cell = F.col("_c")[i]
         out.append(typed(cell["text"], kind).alias(column))
+        if long_integers and kind == "integer":
+            digits = F.regexp_replace(F.regexp_replace(cell["text"], r"^\+", ""), r"^(-?)0+(?=[0-9])", "$1")
+            out.append(F.when(typed(cell["text"], kind).isNull(), digits).alias(f"{column}__long"))
         if source:
             out.append(F.when(typed(cell["text"], kind).isNotNull() if kind != "integer" else cell["text"].isNotNull(), cell["source"]).alias(f"{column}__source"))
     return arrays.select(*out)

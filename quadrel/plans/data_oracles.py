@@ -61,6 +61,11 @@ def _wide_column(name: str, kind: str) -> str:
     return f"max(CASE WHEN predicate = '{VOC}{name}' THEN try_cast({t} AS {_T[kind]}) END) AS \"{name}\""
 
 
+def _long_column(name: str) -> str:
+    digits = "CASE WHEN t LIKE '-%' THEN '-' ELSE '' END || ltrim(ltrim(t, '+-'), '0')"
+    return f"max(CASE WHEN predicate = '{VOC}{name}' AND length(ltrim(ltrim(t, '+-'), '0')) > 38 THEN {digits} END) AS \"{name}__long\""
+
+
 #: Lines judged by whole-line expressions. A line is well quoted if it is a sequence of well-formed literals, IRIs and runs without quotes; it has its columns
 #: if it is a sequence of the right number of terms of any content, and a dot.
 _ESC = r"""(?:\\[tbnrf"''\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})"""
@@ -126,5 +131,5 @@ SELECT anc AS node, node AS descendant, distance FROM up""",
     "p4_found": f"WITH {_HELD}, {_STATE} {_FINAL}",
     "p4_committed": f"WITH {_HELD.replace('e AS', 'e0 AS', 1)}, {_WHOLE}, {_STATE} {_FINAL}",
     "p6_found": f"WITH {_CELL} SELECT subject, predicate, stmt_id FROM cell",
-    "p6_wide": f"WITH {_CELL} SELECT s.subject, {', '.join(_wide_column(n, k) for n, k in _OF.items())} FROM (SELECT DISTINCT subject FROM v) s LEFT JOIN cell c ON c.subject = s.subject GROUP BY s.subject",
+    "p6_wide": f"WITH {_CELL} SELECT s.subject, {', '.join(_wide_column(n, k) for n, k in _OF.items())}, {', '.join(_long_column(n) for n, k in _OF.items() if k == 'integer')} FROM (SELECT DISTINCT subject FROM v) s LEFT JOIN cell c ON c.subject = s.subject GROUP BY s.subject",
 }

@@ -69,7 +69,7 @@ def p4_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _wide(spark: SparkSession, sf_dir: str, source: bool) -> DataFrame:
     rows = table(spark, sf_dir, "rdf").where("died is null and o_kind = 2").select("subject", "predicate", "object", "born", "stmt_id")
-    return wide_table(rows, ATTRIBUTES, "subject", "predicate", "object", ["born", "stmt_id"], "stmt_id" if source else None)
+    return wide_table(rows, ATTRIBUTES, "subject", "predicate", "object", ["born", "stmt_id"], "stmt_id" if source else None, long_integers=not source)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per subject with a typed column per attribute."""
+    """One row per subject with a typed column per attribute, integers of more than 38 digits in columns of their own."""
     return _wide(spark, sf_dir, False)
 
 

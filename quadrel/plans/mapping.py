@@ -9,7 +9,7 @@ from quadrel.operators.lists import assert_containers, assert_lists
 from quadrel.operators.patterns import with_keys
 from quadrel.operators.text_index import LiteralIndex
 from quadrel.schema import QUADS, RDF, RDFS, XSD, quads_frame
-from quadrel.storage import materialize
+from quadrel.storage import exists, materialize
 
 EX, VOC = "http://example.org/", "http://voc.example/ns#"
 COLUMNS = [c.strip().split()[0] for c in QUADS.split(",")]
@@ -96,7 +96,8 @@ _kept: dict[tuple, object] = {}
 def _once(spark: SparkSession, sf_dir: str, what: str, build):
     """What ``build`` gives, made once an application: as a store does that keeps its statements and its index."""
     key = (spark.sparkContext.applicationId, sf_dir, what)
-    if key not in _kept:
+    there = lambda made: all(exists(spark, f._quadrel_path) for f in getattr(made, "parts", [made]))  # noqa: E731, SLF001
+    if key not in _kept or not there(_kept[key]):
         _kept[key] = build()
     return _kept[key]
 

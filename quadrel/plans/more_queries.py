@@ -20,7 +20,7 @@ from quadrel.plans.mapping import EX, INVERSES, VOC, kept, kept_index, line_list
 from quadrel.plans.store_oracles import _F, _LEAST, _LITS, _S, _STAR, _T, _TOK, _TX, _V, _W, _X, _CLS, _VALUES
 from quadrel.schema import IRI, LITERAL, RDF, RDFS, TRIPLE, XSD, quads_frame, visible
 from quadrel.sources import load as loading
-from quadrel.sources import ntriples, persist
+from quadrel.sources import ntriples, persist, rdfa, results, turtle, turtle_write
 from quadrel.storage import materialize, shared_dir
 from quadrel.store import Store
 from quadrel.streaming import changes
@@ -393,6 +393,25 @@ def lookup_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.lookup_counts()
 
 
+@query(f"{_W} SELECT 'opened' AS hook, (SELECT count(*) FROM t WHERE p = '{VOC}code')::VARCHAR AS result UNION ALL SELECT 'graph property', 'http://example.org/opened!' UNION ALL SELECT 'in', 'point(1 2)^^http://example.org/point' UNION ALL SELECT 'out', '(1, 2)'")
+def extension_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hooks for opening sources, for properties of graphs, and for literals of a type of one's own, in and out."""
+    g, point = EX + "opened", EX + "point"
+    rows = patterns.triples(stored(spark, sf_dir), p=VOC + "code").withColumns({"g": F.lit(g), "line": F.lit(None).cast("int")})
+    loading.OPENERS["memory"] = lambda session, path: rows
+    lit.IN_GROUND_TYPE.append(lambda value, type_: (f"point({value[0]} {value[1]})", point, None) if isinstance(value, tuple) and type_ is None else None)
+    lit.OUT_TYPE[point] = lambda text: tuple(int(x) for x in text[6:-1].split())
+    try:
+        store = Store(spark)
+        store.graph_hooks["shout"] = lambda s, name: name + "!"
+        loading.load(store, "memory:codes", g, if_="true")
+        text, kind, _ = lit.canonical((1, 2))
+        seen = [("opened", str(store.triples().count())), ("graph property", store.graph_properties(g)["shout"]), ("in", f"{text}^^{kind}"), ("out", str(lit.host_value(text, kind)))]
+    finally:
+        loading.OPENERS.clear(), lit.IN_GROUND_TYPE.clear(), lit.OUT_TYPE.clear()
+    return _values(spark, seen, "hook string, result string")
+
+
 # -- formats, loading, persistence ------------------------------------------------------------------------------
 
 @query("SELECT count(*) AS lines, count(*) AS numbers, count(DISTINCT load_id % 5) AS files FROM nt_lines WHERE raw_line IS NOT NULL AND NOT regexp_matches(raw_line, '[\\r\\n]')")
@@ -496,3 +515,65 @@ def monitor_change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes.monitor(changes.read_changes(spark, log), write, f"{out}-state").awaitTermination()
     rows = spark.read.parquet(out).drop("batch", "step").distinct()
     return rows.groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SMALL = f"SELECT c_custkey AS k, '{EX}customer/' || c_custkey AS iri, c_name AS name, cast(round(c_acctbal * 100) AS BIGINT)::VARCHAR AS cents FROM customer"
+_SOLUTIONS = f"""WITH c AS ({_SMALL}) SELECT iri AS c, 0 AS c_kind, name, 2 AS name_kind, 'en' AS name_lang, cents AS balance, '{XSD}integer' AS balance_dt FROM c
+UNION ALL SELECT '_:b' || k, 1, name, 2, NULL, NULL, NULL FROM c"""
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k"), F.concat(F.lit(EX + "customer/"), F.col("c_custkey").cast("string")).alias("iri"), F.col("c_name").alias("name"), F.round(F.col("c_acctbal") * 100).cast("bigint").cast("string").alias("cents"))
+
+
+_COLUMNS = ["c", "c_kind", "name", "name_kind", "name_lang", "balance", "balance_dt"]
+
+
+@query(_SOLUTIONS)
+def json_results_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result documents in JSON, one a customer with two solutions: an IRI, a tagged and a typed literal, and a blank node with a plain one."""
+    no = F.lit(None).cast("string")
+    term = lambda kind, v, dt=no, lang=no: F.struct(F.lit(kind).alias("type"), v.alias("value"), dt.alias("datatype"), lang.alias("xml:lang"))
+    full = F.struct(term("uri", F.col("iri")).alias("c"), term("literal", F.col("name"), lang=F.lit("EN")).alias("name"), term("typed-literal", F.col("cents"), F.lit(XSD + "integer")).alias("balance"))
+    plain = F.struct(term("bnode", F.concat(F.lit("b"), "k")).alias("c"), term("literal", F.col("name")).alias("name"), F.lit(None).cast("struct<type:string,value:string,datatype:string,`xml:lang`:string>").alias("balance"))
+    docs = _customers(spark, sf_dir).select(F.to_json(F.struct(F.struct(F.array(full, plain).alias("bindings")).alias("results"))).alias("text"))
+    return results.read_json(docs, ["c", "name", "balance"]).select(*_COLUMNS)
+
+
+@query(_SOLUTIONS)
+def xml_results_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in XML."""
+    bind = lambda name, *inner: F.concat(F.lit(f'<binding name="{name}">'), *inner, F.lit("</binding>"))
+    full = F.concat(bind("c", F.lit("<uri>"), "iri", F.lit("</uri>")), bind("name", F.lit('<literal xml:lang="EN">'), "name", F.lit("</literal>")), bind("balance", F.lit(f'<literal datatype="{XSD}integer">'), "cents", F.lit("</literal>")))
+    plain = F.concat(bind("c", F.lit("<bnode>b"), "k", F.lit("</bnode>")), bind("name", F.lit("<literal>"), "name", F.lit("</literal>")))
+    doc = F.concat(F.lit('<sparql xmlns="http://www.w3.org/2005/sparql-results#"><results><result>'), full, F.lit("</result><result>"), plain, F.lit("</result></results></sparql>"))
+    return results.read_xml(_customers(spark, sf_dir).select(doc.alias("text")), ["c", "name", "balance"]).select(*_COLUMNS)
+
+
+@query(" UNION ALL ".join([f"SELECT '{EX}doc/' || doc_id AS s, '{TYPE}' AS p, '{EX}File' AS o, 0 AS o_kind FROM documents", f"SELECT '{EX}doc/' || doc_id, '{EX}from', '{EX}source/' || source, 0 FROM documents WHERE source IS NOT NULL",
+                           *[f"SELECT '{EX}doc/' || doc_id, '{EX}{c}', {c}, 2 FROM documents WHERE {c} IS NOT NULL" for c in ("lang", "text")]]))
+def rdfa_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What marked-up pages say of the documents, one page each with its whole text."""
+    def safe(c: str):
+        out = F.col(c)
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;")):
+            out = F.replace(out, F.lit(a), F.lit(b))
+        return out
+
+    iri = F.concat(F.lit(EX + "doc/"), F.col("doc_id").cast("string"))
+    said = lambda c, tag: F.coalesce(F.concat(F.lit(f'<{tag} property="ex:{c}">'), safe(c), F.lit(f"</{tag}>")), F.lit(""))
+    link = F.coalesce(F.concat(F.lit(f'<a rel="ex:from" href="{EX}source/'), F.col("source"), F.lit('">source</a>')), F.lit(""))
+    page = F.concat(F.lit(f'<html><body prefix="ex: {EX}"><div typeof="ex:File" resource="'), iri, F.lit('">'), said("lang", "b"), link, said("text", "pre"), F.lit("</div></body></html>"))
+    return rdfa.parse_documents(table(spark, sf_dir, "documents").select(iri.alias("path"), page.alias("text"))).select("s", "p", "o", "o_kind")
+
+
+@query(f"{_W} SELECT DISTINCT s, p, o, o_kind, nullif(o_dt, '{XSD}string') AS o_dt, o_lang, g FROM live WHERE starts_with(g, 'http://data.example/graph/') AND o_kind = 2 AND p IN ('{LABEL}', '{VOC}storeys', '{VOC}listed') AND NOT regexp_matches(s, {_BAD}) AND (o_lang IS NULL OR regexp_full_match(o_lang, '[a-z]+(-[a-z0-9]+)*'))")
+def trig_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels, numbers and truth values of all named graphs written as TriG, a text per subject and graph, statement by statement and relative to a base, and read again; language tags
+    that the format can't hold are faults of their statements."""
+    base, px = "http://data.example/", Prefixes({"voc": VOC, "xsd": XSD, "rdfs": RDFS})
+    rows = stored(spark, sf_dir).where(F.col("g").startswith(base + "graph/") & (F.col("o_kind") == LITERAL) & F.col("p").isin(LABEL, VOC + "storeys", VOC + "listed") & ~F.col("s").rlike(r'[\x00-\x20<>"{}|^`\\]'))
+    texts = turtle_write.subjects(rows, px, by_graph=True, group=False, base=base)
+    doc = F.concat(F.lit(turtle_write.header(px, base, "One subject of one graph")), F.lit("<"), F.col("g"), F.lit("> {\n"), F.col("value"), F.lit("}\n"))
+    got = turtle.parse_documents(texts.select(F.concat("g", F.lit(" "), "s").alias("path"), doc.alias("text")), on_error="warning")
+    return got.where("error is null").select(*TRIPLE[:4], F.when(F.col("o_dt") != XSD + "string", F.col("o_dt")).alias("o_dt"), "o_lang", "g").distinct()

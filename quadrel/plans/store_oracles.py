@@ -124,6 +124,7 @@ SELECT {_ns('iri', 'prefix')} AS prefix, {_ns('iri', 'ns')} AS ns, count(*) AS c
  p AS long, regexp_replace(p, '[^#/]*$', '') AS base, regexp_extract(p, '[^#/]*$') AS local, md5(md5(p)) AS md5_twice FROM live""",
     "typed_values": f"""{_W} SELECT DISTINCT s, p, o, o_dt, CASE WHEN {_NUMERIC} AND o_dt NOT IN ('{XSD}double', '{XSD}float', '{XSD}decimal') AND regexp_full_match(o, '[+-]?[0-9]+') THEN try_cast(o AS DECIMAL(38,0)) END AS v_int, {_V} AS v_double, CASE WHEN o_dt = '{XSD}date' AND regexp_full_match(o, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(Z|[+-][0-9]{{2}}:[0-9]{{2}})?') THEN try_cast(left(o, 10) AS DATE) END AS v_date FROM t WHERE o_kind = 2 AND o_dt IS NOT NULL""",
     "list_members": f"WITH {_LINE} SELECT pos, member, count(*) AS n FROM ln GROUP BY pos, member", "list_length": f"WITH {_LINE} SELECT n AS length, count(DISTINCT k) AS n FROM ln GROUP BY n", "list_nth1": f"WITH {_LINE} SELECT member, count(*) AS n FROM ln WHERE pos = 0 GROUP BY member",
+    "list_nth": f"WITH {_LINE} SELECT pos AS n, member, count(*) AS lists FROM ln GROUP BY pos, member",
     "list_last": f"WITH {_LINE} SELECT member, count(*) AS n FROM ln WHERE pos = n - 1 GROUP BY member", "list_nextto": f"WITH {_LINE} SELECT DISTINCT a.member AS x, b.member AS y FROM ln a JOIN ln b ON a.k = b.k AND b.pos = a.pos + 1",
     "bag_members": f"SELECT '{EX}region/' || n_regionkey AS container, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS n, '{EX}nation/' || n_nationkey AS member FROM nation",
     "alt_default": f"SELECT '{EX}region/' || n_regionkey AS container, '{EX}nation/' || min(n_nationkey) AS \"default\", count(*) - 1 AS n_others FROM nation GROUP BY n_regionkey",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -324,6 +323,7 @@ def _of_lists(name: str, doc: str, build) -> None:
 _of_lists("list_members", "Members of every list with their place.", lambda q: lists.list_rows(q).groupBy("pos", "member").agg(F.count(F.lit(1)).alias("n")))
 _of_lists("list_length", "How many lists there are of each length.", lambda q: lists.list_length(q).groupBy("length").agg(F.count(F.lit(1)).alias("n")))
 _of_lists("list_nth1", "First members, counted from 1.", lambda q: lists.nth(q, 1).where("n = 1").groupBy("member").agg(F.count(F.lit(1)).alias("n")))
+_of_lists("list_nth", "Members by place, counted from 0.", lambda q: lists.nth(q, 0).groupBy("n", "member").agg(F.count(F.lit(1)).alias("lists")))
 _of_lists("list_last", "Last members.", lambda q: lists.last(q).groupBy("member").agg(F.count(F.lit(1)).alias("n")))
 _of_lists("list_nextto", "Pairs of neighbours.", lists.next_to)
 
@@ -420,12 +420,11 @@ def net_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def monitor_counts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per day and type, counted as a stream with a watermark."""
     source = table(spark, sf_dir, "events")
-    folder = tempfile.mkdtemp(prefix="quadrel-stream-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/stream-{id(source)}"
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows = spark.readStream.schema(source.schema).option("pathGlobFilter", "*events.parquet").parquet(sf_dir)
-    name = f"counts_{abs(hash(folder)) % 10**9}"
-    q = changes.event_counts(rows, "ts").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/counts")
+    changes.event_counts(rows, "ts").writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/counts").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 # -- formats ----------------------------------------------------------------------------------------------------

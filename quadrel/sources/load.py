@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,10 @@ EXTENSIONS = {"nt": "ntriples", "ntriples": "ntriples", "nq": "nquads", "nquads"
 CONTENT_TYPES = {"application/n-triples": "ntriples", "application/n-quads": "nquads", "text/turtle": "turtle", "application/x-turtle": "turtle", "application/turtle": "turtle", "application/trig": "trig", "application/rdf+xml": "xml", "text/rdf+xml": "xml", "text/xml": "xml", "text/html": "rdfa", "application/xhtml+xml": "rdfa"}
 
 
+#: Hook for sources that Spark can't open by itself: scheme -> function of (session, path) that gives the path of a local copy or a frame of statements.
+OPENERS: dict[str, Callable[[SparkSession, str], str | DataFrame]] = {}
+
+
 def format_of(path: str, content_type: str | None = None) -> str:
     if content_type and (found := CONTENT_TYPES.get(content_type.split(";")[0].strip().lower())):
         return found
@@ -28,7 +33,14 @@ def format_of(path: str, content_type: str | None = None) -> str:
 
 def read(spark: SparkSession, path: str, format: str | None = None, base: str | None = None, graph: str | None = None, on_error: str = "warning", anon_prefix: str = "_:genid") -> DataFrame:  # noqa: A002
     """Statements of a file, folder or pattern; the default graph is the source."""
-    kind, graph = format or format_of(path), graph or path
+    graph = graph or path
+    opener = OPENERS.get(path.partition(":")[0]) if ":" in path else None
+    if opener is not None:
+        found = opener(spark, path)
+        if isinstance(found, DataFrame):
+            return found.select(*TRIPLE, "g", "line")
+        path = found
+    kind = format or format_of(path)
     if kind in ("ntriples", "nquads"):
         return ntriples.read(spark, path, kind == "nquads", graph, anon_prefix, on_error)[0]
     if kind in ("turtle", "trig"):
@@ -46,7 +58,8 @@ def read(spark: SparkSession, path: str, format: str | None = None, base: str |
 
 
 def stamp(path: str) -> str | None:
-    return modified(SparkSession.active(), path)
+    """The time of change; null for sources that are opened by a hook."""
+    return None if path.partition(":")[0] in OPENERS else modified(SparkSession.active(), path)
 
 
 def load(store: Store, paths: str | list[str], graph: str | None = None, if_: str = "changed", multifile: bool = False, cache: str | None = None, **options) -> list[str]:

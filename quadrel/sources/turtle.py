@@ -130,11 +130,15 @@ class Parser:
         while not self.at("}"):
             if self.at("{") or self.kind == "end":
                 raise TurtleError(f"line {self.at_line}: graph within a graph or not closed")
-            listed = self.at("[")
-            s, used = self.subject()
-            self.predicates(s, optional=used and listed)
-            if not self.at("}"):
-                self.need(".")
+            try:
+                listed = self.at("[")
+                s, used = self.subject()
+                self.predicates(s, optional=used and listed)
+                if not self.at("}"):
+                    self.need(".")
+            except TurtleError as e:  # the block goes on behind the fault
+                self.recover(e)
+                self.graph = graph
         self.graph = self.default
         self.next()
         if self.at("."):

@@ -77,6 +77,8 @@ class Store:
         self.updates: list[DataFrame] = []
         self.monitors: list[tuple[Callable[[DataFrame], None], set[str] | None]] = []
         self.snapshots: list[Snapshot] = []
+        #: Further properties of graphs: name -> function of (store, graph).
+        self.graph_hooks: dict[str, Callable[[Store, str], object]] = {}
 
     # Reading.
 
@@ -351,7 +353,7 @@ class Store:
     def graph_properties(self, g: str) -> dict:
         known = self.state.graphs.get(g, {})
         digest = self.graph_md5(g)
-        return {"triples": self.quads.where(F.col("g") == g).count(), "hash": digest, "modified": digest != known.get("loaded_md5", "0" * 32), "source": known.get("source"), "source_last_modified": known.get("source_last_modified")}
+        return {"triples": self.quads.where(F.col("g") == g).count(), "hash": digest, "modified": digest != known.get("loaded_md5", "0" * 32), "source": known.get("source"), "source_last_modified": known.get("source_last_modified")} | {n: f(self, g) for n, f in self.graph_hooks.items()}
 
     def sources(self) -> dict[str, str]:
         return {g: d["source"] for g, d in self.state.graphs.items() if d.get("source")}

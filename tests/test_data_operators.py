@@ -196,6 +196,13 @@ def test_lines_are_read_or_faulted(spark):
     assert read_loads(spark.createDataFrame([], "load_id long, line_no int, raw_line string"), loads).count() == 0
 
 
+def test_wide_table_keeps_long_integers(spark):
+    data = [("a", "v:n", "9" * 60, 1), ("b", "v:n", "-00" + "7" * 39, 1), ("c", "v:n", "+5", 1), ("d", "v:n", "x", 1)]
+    df = spark.createDataFrame(data, "e string, a string, v string, n int")
+    got = {r["e"]: (r["n"], r["n__long"]) for r in wide_table(df, {"v:n": ("n", "integer")}, "e", "a", "v", ["n"], long_integers=True).collect()}
+    assert got == {"a": (None, "9" * 60), "b": (None, "-" + "7" * 39), "c": (5, None), "d": (None, None)}
+
+
 def test_lookup_join_splits_hot_keys(spark):
     left = spark.createDataFrame([(k, i) for i, k in enumerate(["hot"] * 20 + ["a", "b", None])], "k string, v int")
     right = spark.createDataFrame([("hot", 1), ("a", 2)], "k string, w int")

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrel.functions.prefixes import Prefixes
+from quadrel.operators import patterns
 from quadrel.operators.compare import equal_graphs, same_ground
 from quadrel.schema import RDF, XSD, quads_frame
-from quadrel.sources import library, load, ntriples, persist, rdfa, rdfxml, results, turtle_write
+from quadrel.sources import library, load, ntriples, persist, rdfa, rdfxml, results, turtle, turtle_write
 from quadrel.sources.turtle import Parser, TurtleError
 from quadrel.store import Store
 from quadrel.streaming import changes
@@ -208,3 +209,33 @@ def test_blank_nodes_of_paths_with_equal_crc32_stay_apart(spark):
         rows = reader.parse_documents(spark.createDataFrame([(a, doc), (b, doc)], "path string, text string"), base="http://b/").collect()
         names = {r["source"]: {x for x in (r["s"], r["o"]) if x.startswith("_:")} for r in rows}
         assert names[a] and names[b] and not names[a] & names[b]
+
+
+def test_turtle_writer_options_read_back(spark):
+    q = quads_frame(spark, [("http://b.example/s", RDF + "type", "http://b.example/T"), ("http://b.example/s", "http://x.example/n", ("007", {"type": XSD + "integer"})), ("http://b.example/s", "http://x.example/n", ("x", {"lang": "en"})), ("_:b", "http://x.example/p", "_:c")])
+    px = Prefixes({"x": "http://x.example/"})
+    want = sorted(map(tuple, patterns.triples(q).select("p", "o_kind").collect()))
+    for options in ({}, {"group": False}, {"single_line": True}, {"base": "http://b.example/"}, {"canonize_numbers": True}, {"base": "http://b.example/", "group": False, "single_line": True}):
+        text = turtle_write.document(q, px, comment="two\nlines", **options)
+        got = turtle.parse_documents(spark.createDataFrame([("http://d.example/", text)], "path string, text string"))
+        assert sorted(map(tuple, got.select("p", "o_kind").collect())) == want, options
+        assert ("<s>" in text) == ("base" in options) and text.startswith("# two\n# lines\n") and ('"007"' in text or " 007" in text) != ("canonize_numbers" in options)
+
+
+def test_a_fault_in_a_block_doesnt_end_it():
+    p = Parser("<g> {\n<a> <p> 1 .\n<b> <p> <p> <p> .\n<c> <p> 2 .\n}\n<d> <p> 3 .\n", "http://x.example/", "default", "_:", on_error="warning")
+    assert {(r[0][-1], r[6][-1]) for r in p.parse()} >= {("a", "g"), ("c", "g"), ("d", "t")}
+    assert len(p.errors) == 1
+
+
+def test_integers_that_end_in_a_line_end_are_quoted(spark):
+    q = quads_frame(spark, [("http://x.example/s", "http://x.example/p", "http://x.example/o")]).withColumns({"o": F.lit("27\n"), "o_kind": F.lit(2).cast("tinyint"), "o_dt": F.lit(XSD + "integer")})
+    assert '"27\\n"^^' in turtle_write.document(q)
+
+
+def test_canonical_trig_is_the_same_for_renamed_blank_nodes(spark):
+    rows = lambda a, b: quads_frame(spark, [(f"_:{a}", "http://x.example/p", f"_:{b}", "http://g.example/1"), (f"_:{b}", "http://x.example/p", ("v", {}), "http://g.example/2"), (f"_:{a}", "http://x.example/q", ("v", {}), "http://g.example/2")])
+    one, other = (turtle_write.document(q, trig=True, canonical=True) for q in (rows("m", "n"), rows("z", "k")))
+    assert one == other and "_:m" not in one
+    swapped = quads_frame(spark, [("_:a", "http://x.example/p", "_:b", "http://g.example/2"), ("_:b", "http://x.example/p", ("v", {}), "http://g.example/1"), ("_:a", "http://x.example/q", ("v", {}), "http://g.example/2")])
+    assert turtle_write.document(swapped, trig=True, canonical=True) != one
