@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quadrel.functions.terms import create_bnode, member_number, member_property
 from quadrel.schema import BNODE, DEFAULT_GRAPH, IRI, LITERAL, QUADS, RDF, RDFS, visible
-from quadrel.storage import materialize
+from quadrel.storage import materialize, release
 
 FIRST, REST, NIL = RDF + "first", RDF + "rest", RDF + "nil"
 
@@ -31,17 +31,21 @@ def list_cells(quads: DataFrame, maximal: bool = True) -> DataFrame:
     heads = first.select("cell").distinct()
     if maximal:
         heads = heads.join(rest.select(F.col("next").alias("cell")), "cell", "left_anti")
-    hops = materialize(rest.select(F.col("cell").alias("a"), F.col("next").alias("b")))
-    found = materialize(heads.select(F.col("cell").alias("list"), "cell", F.lit(0).alias("pos")))
-    n, width, cells = found.count(), 1, hops.count()
-    while width <= cells:
-        step = found.where(F.col("cell") != NIL).join(hops.select(F.col("a").alias("cell"), F.col("b")), "cell").select("list", F.col("b").alias("cell"), (F.col("pos") + width).alias("pos"))
-        found = materialize(found.unionByName(step).distinct())
-        size = found.count()
-        if size == n:
-            break
-        n, width = size, width * 2
-        hops = materialize(hops.where(F.col("b") != NIL).join(hops.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct())
+    counted = Observation()
+    hops = materialize(rest.select(F.col("cell").alias("a"), F.col("next").alias("b")).observe(counted, F.count(F.lit(1)).alias("n")))
+    parts, width = [materialize(heads.select(F.col("cell").alias("list"), "cell", F.lit(0).alias("pos")))], 1
+    cells = left = counted.get["n"]
+    while left and width <= cells:
+        # A round gives the places from width to twice the width, so what was found before is neither written nor compared again.
+        found, seen = reduce(DataFrame.unionByName, parts).where(F.col("cell") != NIL), Observation()
+        step = found.join(hops.select(F.col("a").alias("cell"), F.col("b")), "cell").select("list", F.col("b").alias("cell"), (F.col("pos") + width).alias("pos")).distinct()
+        parts.append(materialize(step.observe(seen, F.count(F.lit(1)).alias("n"))))
+        left, width = seen.get["n"], width * 2
+        if left and width <= cells:
+            further = hops.where(F.col("b") != NIL).join(hops.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct()
+            old, hops = hops, materialize(further)
+            release(old)
+    found = reduce(DataFrame.unionByName, parts)
     ends = found.where(F.col("cell") == NIL).select("list").distinct().withColumn("done", F.lit(True))
     return found.where(F.col("cell") != NIL).join(ends, "list", "left").withColumn("done", F.coalesce("done", F.lit(False)))
 
