@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +70,39 @@ def _stack(max_n: int):
     return run
 
 
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``_stack`` for suffixes of one term, where the stack has one level: it is given out when the term changes. Batch-wise."""
+    held: list = []  # the level: term, occurrences, records, last record
+    for batch in batches:
+        rows = batch.num_rows
+        if not rows:
+            continue
+        terms, records = batch.column(0).flatten(), batch.column(1)
+        new, other = np.ones(rows, bool), np.ones(rows, bool)
+        new[0] = not held or terms[0].as_py() != held[0]
+        other[0] = new[0] or records[0].as_py() != held[3]
+        if rows > 1:
+            new[1:] = pc.not_equal(terms.slice(1), terms.slice(0, rows - 1)).to_numpy(zero_copy_only=False)
+            other[1:] = new[1:] | pc.not_equal(records.slice(1), records.slice(0, rows - 1)).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(new)
+        edges = np.concatenate(([0], starts, [rows]))
+        n, r = np.diff(edges), np.add.reduceat(np.append(other, False).astype(np.int64), edges[:-1]) * (np.diff(edges) > 0)
+        # The part before the first start belongs to the level held; the last level is held on.
+        out_terms = [held[0]] if held and len(starts) else []
+        out_n, out_r = ([held[1] + n[0]], [held[2] + r[0]]) if out_terms else ([], [])
+        if len(starts):
+            inner = terms.take(pa.array(starts[:-1]))
+            grams = pa.concat_arrays([pa.array(out_terms, pa.string()), inner.cast(pa.string())])
+            yield pa.RecordBatch.from_arrays([
+                pa.ListArray.from_arrays(pa.array(np.arange(len(grams) + 1, dtype=np.int32)), grams), pa.array(np.concatenate((out_n, n[1:-1])).astype(np.int64)),
+                pa.array(np.concatenate((out_r, r[1:-1])).astype(np.int64))], ["gram", "n", "records"])
+            held = [terms[int(starts[-1])].as_py(), int(n[-1]), int(r[-1]), records[rows - 1].as_py()]
+        else:
+            held = [held[0], held[1] + int(n.sum()), held[2] + int(r.sum()), records[rows - 1].as_py()]
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([[held[0]]], pa.list_(pa.string())), pa.array([held[1]], pa.int64()), pa.array([held[2]], pa.int64())], ["gram", "n", "records"])
+
+
 def gram_counts(occurrences: DataFrame, record: str, position: str, term: str, max_n: int = 1, order: str | None = None) -> DataFrame:
     """``gram`` (array of 1 to ``max_n`` terms), ``n`` occurrences and ``records`` holding it, of every distinct n-gram.
 
@@ -100,7 +135,7 @@ def gram_counts(occurrences: DataFrame, record: str, position: str, term: str, m
         suffixes = suffixes.join(salts, F.element_at("s", 1) == F.col("_term"), "left")
         route.append(F.pmod(F.xxhash64("r"), F.coalesce("_salts", F.lit(1))))
     routed = suffixes.select("s", "r", *[r.alias(f"_r{i}") for i, r in enumerate(route)]).repartition(tasks, *[f"_r{i}" for i in range(len(route))]).select("s", "r")
-    parts = routed.sortWithinPartitions(F.desc("s"), "r").mapInArrow(_stack(max_n), "gram array<string>, n bigint, records bigint")
+    parts = routed.sortWithinPartitions(F.desc("s"), "r").mapInArrow(_single if max_n == 1 else _stack(max_n), "gram array<string>, n bigint, records bigint")
     return parts.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("records").alias("records"))
 
 

@@ -275,3 +275,16 @@ def test_corpus_mixture_clamps_and_redistributes(spark):
     left = sum(given[s] for s in free)
     for s in free:
         assert given[s] == pytest.approx(left * targets[s][0] / sum(targets[x][0] for x in free), abs=2 * longest)
+
+
+def test_single_terms_are_counted_as_the_stack_counts_them():
+    import pyarrow as pa
+    from quadrel.llm.terms import _single, _stack
+
+    rng = random.Random(1)
+    for _ in range(200):
+        data = sorted([(rng.choice("abcd"[: rng.randrange(1, 5)]), rng.randrange(rng.choice([2, 9]))) for _ in range(rng.randrange(40))], key=lambda x: (-ord(x[0]), x[1]))
+        cuts = sorted(rng.randrange(len(data) + 1) for _ in range(rng.randrange(6)))
+        batches = [pa.RecordBatch.from_arrays([pa.array([[t] for t, _ in data[i:j]], pa.list_(pa.string())), pa.array([r for _, r in data[i:j]], pa.int64())], ["s", "r"]) for i, j in zip([0, *cuts], [*cuts, len(data)])]
+        got = lambda run: sorted((x["gram"], x["n"], x["records"]) for b in run(iter(batches)) for x in b.to_pylist())  # noqa: E731, B023
+        assert got(_single) == got(_stack(1))
