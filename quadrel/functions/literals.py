@@ -199,9 +199,11 @@ def order_key(o: str = "o", o_kind: str = "o_kind", o_dt: str = "o_dt", o_lang:
     of any length exactly) before texts; texts folded, then as they are; then typed before language-tagged, then by type or tag."""
     text, kind, dtype = F.col(o), F.col(o_kind), F.col(o_dt)
     value = F.when(kind == LITERAL, numeric_value(text, dtype))
+    # A number of an integer type in another form, as "8.", stands with the integer of its value.
+    round_ = F.when((value == F.floor(value)) & (F.abs(value) < 2**53), integer_key(value.try_cast("bigint").cast("string"), dtype))
     return [
         F.when(kind == LITERAL, 0).when(kind == BNODE, 1).otherwise(2), F.when(value.isNotNull(), 0).otherwise(1), value,
-        F.when(value.isNotNull(), -primitive(dtype)).otherwise(0), F.when(value.isNotNull(), integer_key(text, dtype)), F.upper(fold(text)), text,
+        F.when(value.isNotNull(), -primitive(dtype)).otherwise(0), F.when(value.isNotNull(), F.coalesce(integer_key(text, dtype), round_)), F.upper(fold(text)), text,
         F.when(F.col(o_lang).isNotNull(), 1).otherwise(0), F.coalesce(dtype, F.lit("")), F.coalesce(F.col(o_lang), F.lit("")),
     ]
 
