@@ -78,10 +78,19 @@ def star(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def line_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A list per order of the parts on its lines, in their order; an order has few lines."""
+def line_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k and members: an order and the parts on its lines, in their order; an order has few lines."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: F.concat(F.lit(EX + "part/"), x["l_partkey"].cast("string"))).alias("members"))
-    return assert_lists(lines.select(F.col("l_orderkey").cast("string").alias("k"), "members"), "k", "members", EX + "lists")
+    return lines.select(F.col("l_orderkey").cast("string").alias("k"), "members")
+
+
+def as_lists(lines: DataFrame) -> DataFrame:
+    return assert_lists(lines, "k", "members", EX + "lists")
+
+
+def line_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list per order of the parts on its lines."""
+    return as_lists(line_members(spark, sf_dir))
 
 
 def region_bags(spark: SparkSession, sf_dir: str, kind: str = "Bag") -> DataFrame:

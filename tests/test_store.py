@@ -2,16 +2,18 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quadrel import storage
 from quadrel.edit import Editor
 from quadrel.functions import literals as lit
 from quadrel.functions import terms
 from quadrel.functions.prefixes import Prefixes, portray, split_url, xml_namespace
 from quadrel.functions.stem import sounds, stem
 from quadrel.functions.text import fold_text, lang_matches, match_label
-from quadrel.operators import closure, compare, lists, patterns, rdfs, statistics, text_index
+from quadrel.operators import closure, compare, graph_digest, lists, patterns, rdfs, statistics, text_index
 from quadrel.operators.patterns import Literal, Match
 from quadrel.operators.ranking import ranked
 from quadrel.operators.text_index import LiteralMap, Q
@@ -394,3 +396,44 @@ def test_alternatives_keep_all_of_a_large_container(spark, monkeypatch):
     monkeypatch.setattr(lists, "containers", lambda quads, kind: big.unionByName(empty))
     got = lists.alternatives(None).select("container", "default", F.size("others").alias("n"), F.get("others", F.size("others") - 1).alias("last"))
     assert sorted(map(tuple, got.collect())) == [("c", "1", n - 1, str(n)), ("d", None, 0, None), ("e", "x", 0, None)]
+
+
+def test_graph_digest(spark, monkeypatch):
+    chain = lambda a, n: [(f"_:{a}{i}", "next", f"_:{a}{i + 1}") for i in range(n)]
+    ring = lambda a, n: [(f"_:{a}{i}", "next", f"_:{a}{(i + 1) % n}") for i in range(n)]
+    rows = chain("c", 5) + [("_:c0", "p", L("1", "integer")), ("_:c5", "p", "x"), ("g", "p", "_:c2"), ("g", "p", "h"), ("g", "p", L("h")), ("_:l", "p", "_:l"), ("_:k", "q", L("1", lang="en"))] + ring("r", 6) + [("_:1", "p", "x"), ("_:2", "p", "x")]
+    renamed = [tuple("_:z" + x[2:] if isinstance(x, str) and x.startswith("_:") else x for x in r) for r in rows]
+    frame = lambda rows: quads_frame(spark, rows)
+    assert graph_digest.count_different(frame(rows).coalesce(1), frame([*renamed[::-1], rows[8]]).coalesce(1)) == 0
+    # The eight statements of the chain's component stand against seven, a ring of six against two of three; one node and one statement are new.
+    other = [r for r in renamed if r[2] != L("1", "integer") and not r[0].startswith("_:zr")] + ring("x", 3) + ring("y", 3) + [("g", "p", "i"), ("_:k2", "q", L("1", lang="en"))]
+    assert graph_digest.count_different(frame(rows).coalesce(1), frame(other).coalesce(1)) == 15 + 12 + 2
+    # Components that lie apart get the same colours, and a statement that is repeated counts once.
+    assert graph_digest.count_different(frame(rows).coalesce(1), frame(other + other[:9]).repartition(4, "o")) == 15 + 12 + 2
+    # Pieces of a few statements: lists go on in the next piece, and one that is longer is coloured by joins.
+    for piece, tail, most in ((7, 3, 100), (3, 1, 4)):
+        for name, value in (("PIECE", piece), ("TAIL", tail), ("MOST", most)):
+            monkeypatch.setattr(graph_digest, name, value)
+        terms_of = graph_digest._terms(frame(rows).coalesce(1)).toPandas()
+        batches = [pa.RecordBatch.from_pydict({n: terms_of[n].to_numpy()[i : i + 2] for n in terms_of}) for i in range(0, len(terms_of), 2)]
+        names = [v for out in graph_digest._local(None)(batches) for k, v in zip(out["kind"].to_pylist(), out["a"].to_pylist()) if k == graph_digest.NODE]
+        assert (len(names) == len(set(names))) == (most == 100)
+
+
+def test_graph_isomorphic_disk(spark, monkeypatch, tmp_path):
+    """The statements of the lists, three a line, aren't written."""
+    from quadrel.plans import store_queries
+
+    lines = spark.range(160_000).selectExpr("id div 4 as l_orderkey", "id % 977 as l_partkey", "cast(id % 4 + 1 as int) as l_linenumber")
+    lines.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    written, plain = [], storage.materialize
+
+    def counting(df):
+        out = plain(df)
+        written.append(out.count())
+        return out
+
+    for module in (store_queries, compare, graph_digest):
+        monkeypatch.setattr(module, "materialize", counting)
+    assert store_queries.graph_isomorphic(spark, str(tmp_path)).collect()[0][0] == 0
+    assert sum(written) < 160_000
